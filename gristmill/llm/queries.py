@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import mixing, warc
-from gristmill.llm.shared import table
+from gristmill.llm import mixing, toxicity, warc
+from gristmill.llm.shared import small_batches, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    first = F.get("offending", F.lit(0))
+    return found.select("doc_id", "held_out", "score", "predicted", "sentences", F.size("offending").alias("n_offending"), first["start"].alias("first_start"), first["end"].alias("first_end"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +67,5 @@ SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM p JOIN g USING (digest)
 """
 
-QUERIES = {"op6_mixing": op6_mixing, "op7_warc": op7_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
 ORACLES = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}
