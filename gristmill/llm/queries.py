@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import mixing, toxicity, warc
+from gristmill.llm import licences, merkle, mixing, toxicity, warc
 from gristmill.llm.shared import small_batches, table
 
 
@@ -67,5 +67,13 @@ SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM p JOIN g USING (digest)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+QUERIES = {"op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
 ORACLES = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}
