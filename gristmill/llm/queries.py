@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import licences, merkle, mixing, toxicity, warc
+from gristmill.llm import chat, licences, merkle, mixing, pieces, toxicity, warc
 from gristmill.llm.shared import small_batches, table
 
 
@@ -16,6 +16,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "sentences", F.size("offending").alias("n_offending"), first["start"].alias("first_start"), first["end"].alias("first_end"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.format_conversations(rows))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,5 +83,10 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
-QUERIES = {"op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pieces.encoded(table(spark, sf_dir, "documents"), pieces.load())
+
+
+QUERIES = {"op10_pieces": op10_pieces, "op3_chat": op3_chat, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
 ORACLES = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}
