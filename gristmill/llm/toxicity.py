@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
+START = -8.0  #: log odds of a sentence that nothing is known of
 SCORED = "struct<score double, sentences int, offending array<struct<start int, end int, p double>>>"
 
 
@@ -44,8 +46,19 @@ def train(
     # Twice the rows wanted, for ids that have no document or one that is too long; the bound makes this side small.
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(2 * max_rows)
     rows = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.length("_text") <= max_chars)
-    rows = rows.join(F.broadcast(known), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(max_rows).collect()
-    return fit([r["_text"] for r in rows], [int(r["_y"] > 0) for r in rows], max_words, min_docs, steps)
+    sample = rows.join(F.broadcast(known), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(max_rows).select("_text", "_y")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, given = [], []
+        for b in batches:
+            texts += b.column("_text").to_pylist()
+            given += [int(y > 0) for y in b.column("_y").to_pylist()]
+        model = fit(texts, given, max_words, min_docs, steps)
+        yield pa.RecordBatch.from_pydict({"word": [*model.weights, None], "weight": [*model.weights.values(), model.bias]})
+
+    # One task fits the bounded sample; only the weights, at most max_words, reach the driver.
+    found = {r["word"]: r["weight"] for r in sample.coalesce(1).mapInArrow(run, "word string, weight double").collect()}
+    return MilModel({w: x for w, x in found.items() if w is not None}, found.get(None, START))
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -53,25 +66,35 @@ def features(word: str) -> tuple[str, ...]:
     return (word, f"{word[:4]}-", f"-{word[-4:]}") if len(word) > 4 else (word,)
 
 
-def associated(bags: list[set[str]], labels: list[int], max_words: int, min_docs: int, least_z: float = 3.0) -> list[str]:
+def sentence_features(text: str) -> list[set[str]]:
+    return [{f for w in set(WORD.findall(s)) for f in features(w)} for s in SENTENCE.findall(text.lower())]
+
+
+def associated(texts: list[str], labels: list[int], max_words: int, min_docs: int, least_z: float = 3.0) -> list[str]:
     """Features in at least min_docs toxic texts whose count there is least_z standard deviations above chance."""
-    seen = Counter(w for bag in bags for w in bag)
-    toxic = Counter(w for bag, y in zip(bags, labels, strict=True) if y for w in bag)
+    toxic: Counter[str] = Counter()
+    for text, y in zip(texts, labels, strict=True):
+        if y:
+            toxic.update(set().union(*sentence_features(text)))
+    toxic = Counter({w: n for w, n in toxic.items() if n >= min_docs})
+    seen = Counter(toxic)
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            seen.update(toxic.keys() & set().union(*sentence_features(text)))
     share = sum(labels) / max(1, len(labels))
-    z = {w: (n - seen[w] * share) / math.sqrt(seen[w] * share * (1 - share) + 1e-9) for w, n in toxic.items() if n >= min_docs}
+    z = {w: (n - seen[w] * share) / math.sqrt(seen[w] * share * (1 - share) + 1e-9) for w, n in toxic.items()}
     return sorted((w for w, x in z.items() if x >= least_z), key=lambda w: (-z[w], w))[:max_words]
 
 
-def fit(texts: list[str], labels: list[int], max_words: int = 20_000, min_docs: int = 3, steps: int = 150, start: float = -8.0, decay: float = 0.02) -> MilModel:
+def fit(texts: list[str], labels: list[int], max_words: int = 20_000, min_docs: int = 3, steps: int = 150, start: float = START, decay: float = 0.02) -> MilModel:
     """Maximises the noisy-or likelihood of the labels by Adam over the features associated with toxic texts."""
     if len(set(labels)) < 2:
         return MilModel({}, start)
-    bags = [[{f for w in set(WORD.findall(s)) for f in features(w)} for s in SENTENCE.findall(t.lower())] for t in texts]
-    words = associated([set().union(*bag) for bag in bags], labels, max_words, min_docs)
+    words = associated(texts, labels, max_words, min_docs)
     place = {w: i for i, w in enumerate(words)}
     doc, row, col = [], [], []
-    for d, bag in enumerate(bags):
-        for sentence in bag:
+    for d, text in enumerate(texts):  # the features of one text at a time: the driver's memory stays small
+        for sentence in sentence_features(text):
             found = [place[w] for w in sentence if w in place]
             row += [len(doc)] * len(found)
             col += found
