@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, licences, merkle, mixing, pieces, toxicity, vptree, warc
+from gristmill.llm import chat, jaccard, licences, merkle, mixing, pieces, toxicity, vptree, warc
 from gristmill.llm.shared import small_batches, table
 
 
@@ -24,6 +24,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     rows = table(spark, sf_dir, "embeddings")
@@ -94,5 +99,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), pieces.load())
 
 
-QUERIES = {"op10_pieces": op10_pieces, "op3_chat": op3_chat, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
+QUERIES = {"op10_pieces": op10_pieces, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
 ORACLES = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only where the session names no shared folder (local runs and tests).
 LOCAL_DIR = "file:///tmp/checkpoints/gristmill"
@@ -44,3 +45,17 @@ def small_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a table of keys up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def sized(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """keys (a saved table), marked for broadcasting if it has been counted to have at most `most` rows."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def row_key(id_col: Column, text: Column) -> Column:
+    """What tells rows apart: id and whole text. Rows that repeat both are one document."""
+    return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
