@@ -105,11 +105,11 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
     seed: int = 0,
-    keep: Sequence[str] = (),
+    keep: bool = False,
     max_patterns: int = 20_000,
 ) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken, whole (times it is taken whole), cut (words of
-    a further, cut copy), then the columns named in keep.
+    a further, cut copy); with keep also kept, a struct of all columns of docs.
 
     source_col may hold a string or an array of strings (overlapping sources). Sources in code point order, null
     last, have the weights, repeated; the words of all documents are shared by weight, up to max_repeats times a
@@ -125,7 +125,7 @@ def mix(
         word_count(F.col(text_col)).alias("size"),
         F.to_json(F.array_sort(F.array_distinct(F.when(F.size(held) > 0, held).otherwise(F.array(F.lit(None).cast("string")))))).alias("pattern"),
         F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))).alias("draw"),
-        F.struct(*(F.col(c) for c in keep)).alias("kept") if keep else F.lit(0).alias("kept"),
+        F.struct(*(F.col(c) for c in docs.columns)).alias("kept"),
     )
     lean = saved(rows.drop("kept"), "mix-sizes")
     totals = lean.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
@@ -173,5 +173,17 @@ def mix(
         (F.col("size") * F.col("whole") + F.col("more")).alias("taken"),
         (F.col("whole") + F.when(full, 1).otherwise(0)).alias("whole"),
         F.when(full, 0).otherwise(F.col("more")).cast("long").alias("cut"),
-        *(F.col("kept")[c].alias(c) for c in keep),
+        *(["kept"] if keep else []),
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The rows of docs as often as the mix takes them; the text of a further, cut copy ends after its last word.
+    Documents without words are in no mix."""
+    out = mix(docs, id_col, text_col, source_col, keep=True, **settings)
+    copies = F.col("whole") + F.when(F.col("cut") > 0, 1).otherwise(0)
+    out = out.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    words = F.regexp_extract_all(F.col("kept")[text_col], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("copy") > F.col("whole"), F.array_join(F.slice(words, F.lit(1), F.col("cut").cast("int")), "")).otherwise(F.col("kept")[text_col])
+    return out.select(*(text.alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in docs.columns))
+

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, jaccard, licences, merkle, mixing, pieces, toxicity, vptree, warc
+from gristmill.llm import chat, jaccard, licences, lines, merkle, mixing, pieces, toxicity, vptree, warc
 from gristmill.llm.shared import small_batches, table
 
 
@@ -16,6 +16,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "sentences", F.size("offending").alias("n_offending"), first["start"].alias("first_start"), first["end"].alias("first_end"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     said = "</s>[INST] ok [/INST]"
@@ -99,5 +105,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), pieces.load())
 
 
-QUERIES = {"op10_pieces": op10_pieces, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
+QUERIES = {"op10_pieces": op10_pieces, "op2_lines": op2_lines, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
 ORACLES = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}

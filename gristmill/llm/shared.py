@@ -20,20 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors. With
+    keep, release() leaves it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if not keep:
+        _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the tables of saved() but the last keep; only once nothing that reads them is still to run."""
-    gone = _written[: len(_written) - keep]
-    del _written[: len(gone)]
-    for path in gone:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+def release(spark: SparkSession) -> None:
+    """Deletes the tables of saved(); only once nothing that reads them is still to run."""
+    while _written:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
