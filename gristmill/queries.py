@@ -1,10 +1,386 @@
-"""Registry of the library's own queries: name -> callable, and name -> DuckDB SQL."""
+"""The library's own queries over the standard tables, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.functions import sketch, text
+from gristmill.functions.rewrite import ENGINES, rewritten
+from gristmill.operators import cache, limits, lookup, near_dup, request_log, usage, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- texts ----------------------------------------------------------------------------------------------------------
+
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+_SHINGLES = "CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"
+_HASHES = "list_transform(s, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT)"
+_SIGNATURES = f"""
+w AS (SELECT doc_id, source, text, {_WORDS.format('text')} AS w FROM documents),
+h AS (SELECT doc_id, source, text, {_HASHES} AS h FROM (SELECT doc_id, source, text, {_SHINGLES} AS s FROM w WHERE len(w) > 0)),
+g AS (SELECT doc_id, source, text, list_transform(range(1, 33), lambda p: list_min(list_transform(h, lambda x: (x * (p * 48271 % 2147483647) + p * 69621) % 2147483647))) AS sig FROM h)"""
+_PAIRS = f"""
+{_SIGNATURES},
+r AS (SELECT sig, min(doc_id) AS rep FROM g GROUP BY sig),
+b AS (SELECT rep, unnest(range(0, 8)) AS band, sig FROM r),
+k AS (SELECT rep, band, array_to_string(sig[band * 4 + 1:band * 4 + 4], '-') AS key FROM b),
+p AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.rep < y.rep),
+q AS (SELECT a, b, len(list_filter(range(1, 33), lambda i: x.sig[i] = y.sig[i])) / 32.0::DOUBLE AS sim FROM p JOIN r x ON x.rep = a JOIN r y ON y.rep = b)"""
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, sim FROM q WHERE sim >= 0.8")
+def near_dup_pairs(spark, sf_dir):
+    return near_dup.near_duplicates(_t(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_SIGNATURES} SELECT min(doc_id) AS rep, count(*) AS copies, array_to_string(sig, ',') AS sig FROM g GROUP BY sig")
+def minhash_signatures(spark, sf_dir):
+    return near_dup.signatures(_t(spark, sf_dir, "documents")).select("rep", "copies", F.array_join("sig", ",").alias("sig"))
+
+
+@query(f"""
+WITH RECURSIVE {_PAIRS},
+e AS (SELECT a, b, sim FROM q WHERE sim >= 0.8),
+n AS (SELECT rep, row_number() OVER (ORDER BY rep) AS i FROM r WHERE rep IN (SELECT a FROM e UNION SELECT b FROM e)),
+f(i, gone) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT f.i + 1, CASE WHEN (SELECT count(*) FROM e WHERE e.b = n.rep AND NOT list_contains(f.gone, e.a)) > 0 THEN list_append(f.gone, n.rep) ELSE f.gone END
+  FROM f JOIN n ON n.i = f.i + 1),
+z AS (SELECT gone FROM f ORDER BY i DESC LIMIT 1),
+m AS (SELECT b, max({{'sim': sim, 'a': -a}}) AS best FROM e, z WHERE list_contains(z.gone, b) AND NOT list_contains(z.gone, a) GROUP BY b)
+SELECT r.rep AS id, -m.best.a AS leader, m.best.sim AS sim FROM r LEFT JOIN m ON m.b = r.rep""")
+def leader_dedupe(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    reps = near_dup.signatures(docs).select(F.col("rep").alias("id"), F.lit("all").alias("grp"))
+    # Rows without a near one are leaders whatever the order: only the others are folded.
+    pairs = near_dup.near_duplicates(docs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    folded = near_dup.leaders(reps.join(ends, "id", "left_semi"), pairs)
+    return reps.select("id").join(folded.select("id", "leader", "sim"), "id", "left").select("id", "leader", "sim")
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, list_distinct({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) WHERE len(w) > 0),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+k AS (SELECT x.doc_id AS query_id, y.doc_id AS id, count(*) AS k, any_value(x.n) AS m, any_value(y.n) AS n FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id WHERE x.doc_id % 20 = 0 GROUP BY 1, 2),
+r AS (SELECT query_id, id, k / (n + m - k)::DOUBLE AS sim, row_number() OVER (PARTITION BY query_id ORDER BY k / (n + m - k)::DOUBLE DESC, id) AS r FROM k)
+SELECT query_id, id, sim FROM r WHERE r = 1""")
+def jaccard_nearest(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return near_dup.exact_nearest(docs, docs.filter("doc_id % 20 = 0"))
+
+
+_SIMHASH = f"""
+w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+s AS (SELECT doc_id, list_transform({_SHINGLES}, lambda x: ('0x' || substr(md5(x), 1, 14))::BIGINT) AS h FROM w WHERE len(w) > 0),
+h AS (SELECT doc_id, list_sum(list_transform(range(0, 56), lambda j: CASE WHEN list_sum(list_transform(h, lambda x: CASE WHEN (x >> j::BIGINT) & 1 = 1 THEN 1 ELSE -1 END)) > 0 THEN 1::BIGINT << j::BIGINT ELSE 0 END))::BIGINT AS h FROM s)"""
+
+
+@query(f"WITH {_SIMHASH} SELECT doc_id, coalesce(h, 0) AS h FROM documents LEFT JOIN h USING (doc_id)")
+def simhash(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", sketch.simhash(F.col("text")).alias("h"))
+
+
+@query(f"""
+WITH {_SIMHASH},
+r AS (SELECT h, min(doc_id) AS id FROM h WHERE h <> 0 GROUP BY h)
+SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INT AS hamming FROM r x JOIN r y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 3""")
+def simhash_pairs(spark, sf_dir):
+    return near_dup.simhash_pairs(_t(spark, sf_dir, "documents"))
+
+
+@query()
+def projection_nearest(spark, sf_dir):
+    return near_dup.projection_nearest(_t(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH c AS (
+  SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper,
+         length(regexp_replace(text, '[^\p{Nd}]', '', 'g')) AS digits, length(regexp_replace(text, '[\p{L}\p{Nd}\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g')) AS marks,
+         len(regexp_extract_all(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+')) AS gaps
+  FROM documents)
+SELECT doc_id, CASE WHEN n IS NULL OR n = 0 THEN 0
+  WHEN (letters > 0 AND upper / letters > 0.6) OR marks > greatest(1, floor(n * 0.3)) THEN greatest(1, round_even(n / 3.5, 0))
+  ELSE greatest(1, round_even(letters / 4.0 + digits / 2.0 + marks + gaps * 0.5, 0)) END::INT AS tokens FROM c""")
+def token_estimate(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(r"""
+WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n, substr(sha256(text), 1, 16) AS d FROM documents),
+m0 AS (SELECT *, 130 + 0 AS z FROM t WHERE n > 4000),
+s0 AS (SELECT *, 4000 AS mx, E'\n\n[... middle-out compressed locally: omitted ' AS p1, ' chars; original_chars=' || n || '; sha256=' || d || E'; not reversible by the model ...]\n\n' AS p2 FROM m0),
+i0 AS (SELECT *, p1 || (n - mx) || p2 AS mark FROM s0),
+e0 AS (SELECT *, greatest(64, floor(greatest(128, mx - length(mark)) * 0.55))::INT AS head FROM i0),
+f0 AS (SELECT *, greatest(64, greatest(128, mx - length(mark)) - head)::INT AS tail FROM e0),
+f1 AS (SELECT *, p1 || (n - head - tail) || p2 AS new1 FROM f0),
+e1 AS (SELECT *, CASE WHEN length(new1) = length(mark) THEN head ELSE greatest(64, floor(greatest(128, mx - length(new1)) * 0.55))::INT END AS head1 FROM f1),
+t1 AS (SELECT *, CASE WHEN length(new1) = length(mark) THEN tail ELSE greatest(64, greatest(128, mx - length(new1)) - head1)::INT END AS tail1 FROM e1),
+f2 AS (SELECT *, CASE WHEN length(new1) = length(mark) THEN new1 ELSE p1 || (n - head1 - tail1) || p2 END AS new2 FROM t1),
+e2 AS (SELECT *, CASE WHEN length(new2) = length(new1) THEN head1 ELSE greatest(64, floor(greatest(128, mx - length(new2)) * 0.55))::INT END AS head2 FROM f2),
+t2 AS (SELECT *, CASE WHEN length(new2) = length(new1) THEN tail1 ELSE greatest(64, greatest(128, mx - length(new2)) - head2)::INT END AS tail2 FROM e2),
+f3 AS (SELECT *, CASE WHEN length(new2) = length(new1) THEN new2 ELSE p1 || (n - head2 - tail2) || p2 END AS new3 FROM t2),
+o AS (SELECT doc_id, CASE WHEN head + tail >= n - 500 THEN text ELSE regexp_replace(substr(text, 1, head2), '\s+$', '') || new3 || regexp_replace(substr(text, n - tail2 + 1), '^\s+', '') END AS out FROM f3)
+SELECT t.doc_id, length(coalesce(o.out, t.text)) AS chars, substr(sha256(coalesce(o.out, t.text)), 1, 16) AS digest FROM t LEFT JOIN o USING (doc_id)""")
+def middle_out(spark, sf_dir):
+    out = _t(spark, sf_dir, "documents").select("doc_id", text.middle_out(F.col("text"), 4000).alias("o"))
+    return out.select("doc_id", F.length("o").cast("long").alias("chars"), text.short_digest(F.col("o")).alias("digest"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, length(text) AS n, CASE WHEN text IS NULL OR text = '' THEN 0 ELSE 1 END AS some FROM conversations)
+SELECT conv_id, sum(n)::BIGINT AS chars, sum(n) >= 2048 AS worth,
+  CASE WHEN sum(n) / 4.0 / 2000 < 0.4 THEN 'lenient' WHEN sum(n) / 4.0 / 2000 < 0.6 THEN 'standard' WHEN sum(n) / 4.0 / 2000 < 0.8 THEN 'aggressive' ELSE 'max' END AS tier,
+  CASE WHEN sum(n) / 4.0 / 2000 < 0.4 THEN 'lite' WHEN sum(n) / 4.0 / 2000 < 0.6 THEN 'standard' WHEN sum(n) / 4.0 / 2000 < 0.8 THEN 'aggressive' ELSE 'ultra' END AS caveman
+FROM t GROUP BY conv_id""")
+def context_tiers(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"))
+    rows = rows.withColumn("tier", lookup.tier(F.col("chars"), 2000))
+    return rows.select("conv_id", "chars", lookup.worth_compacting(F.col("chars")).alias("worth"), "tier", lookup.tier_level(F.col("tier"), "caveman").alias("caveman"))
+
+
+def _rewritten(name: str, level: str, column: str):
+    def run(spark, sf_dir):
+        rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", rewritten(F.col("text"), name, level).alias("r"))
+        return rows.select("conv_id", "turn", F.col("r.text").alias("text"), F.col("r.note").alias("note"), F.col("r.original_chars").alias("chars_in"), F.col("r.compressed_chars").alias("chars_out"))
+
+    run.__name__ = f"rewrite_{name}"
+    return run
+
+
+for _name, (_, _levels) in ENGINES.items():
+    QUERIES[f"rewrite_{_name}"] = _rewritten(_name, _levels[-1], "text")
+
+
+# ---- vectors --------------------------------------------------------------------------------------------------------
+
+_COS = "list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
+
+
+@query(f"""
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({_COS}, 6) AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)
+SELECT query_id, id, sim, (row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id))::INT AS rank FROM s QUALIFY rank <= 5""")
+def vector_topk(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings")
+    return vectors.top_k(rows, rows.filter("vec_id % 20 = 0"), 5)
+
+
+@query(f"""
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({_COS}, 6) AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s)
+SELECT query_id, id, sim FROM r WHERE r = 1 AND sim >= 0.97""")
+def semantic_hits(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings")
+    return vectors.semantic_hits(rows, rows.filter("vec_id % 20 = 0"))
+
+
+# ---- the request log ------------------------------------------------------------------------------------------------
+
+_EDGES = "[" + ", ".join(f"{float(e)}" for e in request_log.EDGES) + "]"
+
+
+def _quantile_sql(q: float) -> str:
+    tops = _EDGES[:-1] + ", 240000.0]"
+    return f"coalesce(({tops})[list_filter(range(1, 18), lambda i: list_sum(hist[1:i]) >= greatest(1, ceil({q} * requests)))[1]], 0.0)"
+
+
+_BUCKETS = f"""
+e AS (SELECT *, len(list_filter({_EDGES}, lambda x: x < value)) AS bin FROM events),
+m AS (
+  SELECT date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 3) AS total_ms,
+         [{', '.join(f'count(*) FILTER (bin = {i})' for i in range(17))}] AS hist
+  FROM e GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_BUCKETS}
+SELECT strftime(minute, '%Y-%m-%d %H:%M') AS minute, requests, errors, total_ms, array_to_string(hist, ',') AS hist,
+       {_quantile_sql(0.5)} AS p50, {_quantile_sql(0.95)} AS p95, {_quantile_sql(0.99)} AS p99 FROM m""")
+def minute_buckets(spark, sf_dir):
+    out = request_log.minute_buckets(_t(spark, sf_dir, "events"), ms="value", bad=F.col("event_type") == "error")
+    return out.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm")).withColumn("hist", F.array_join("hist", ","))
+
+
+@query(f"""
+WITH {_BUCKETS.replace("'minute'", "'hour'")}
+SELECT strftime(minute, '%Y-%m-%d %H') AS hour, {_quantile_sql(0.95)} AS p95 FROM m""")
+def latency_p95(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(request_log.histogram(F.col("value")).alias("h"))
+    return rows.select("hour", request_log.quantile(F.col("h"), 0.95).alias("p95"))
+
+
+@query("""
+SELECT count(*) AS requests, count(*) FILTER (event_id % 100 > value) AS compacted, sum(greatest(0, event_id % 100 - value::INT))::BIGINT AS saved,
+       count(*) FILTER (event_type = 'error') AS errors FROM events""".replace("event_id % 100 > value)", "event_id % 100 > value::INT)"))
+def request_totals(spark, sf_dir):
+    return request_log.totals(_t(spark, sf_dir, "events"), F.col("event_type") == "error", F.col("event_id") % 100, F.round("value").cast("int"))
+
+
+@query("SELECT event_type AS mode, sum(greatest(0, event_id % 100 - user_id))::BIGINT AS saved FROM events GROUP BY 1")
+def engine_savings(spark, sf_dir):
+    event = F.struct(F.col("event_type").alias("mode"), (F.col("event_id") % 100).alias("original_chars"), F.col("user_id").alias("compressed_chars"))
+    return request_log.engine_savings(_t(spark, sf_dir, "events").select(F.array(event).alias("events")))
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50)")
+def recent_requests(spark, sf_dir):
+    return request_log.recent(_t(spark, sf_dir, "events"), 50).select("event_id", "user_id", "event_type")
+
+
+@query("""
+WITH e AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e)
+SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS size FROM r GROUP BY user_id, run, event_type""")
+def run_islands(spark, sf_dir):
+    return request_log.runs(_t(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query("""
+WITH s AS (SELECT user_id % 4 AS cache, event_id AS seq, user_id AS key FROM events),
+p AS (SELECT *, lag(seq) OVER (PARTITION BY cache, key ORDER BY seq) AS before FROM s),
+d AS (SELECT p.cache, p.seq, count(DISTINCT o.key) AS d FROM p JOIN s o ON o.cache = p.cache AND o.seq > p.before AND o.seq < p.seq AND o.key <> p.key GROUP BY 1, 2)
+SELECT p.cache, p.seq, p.key, p.before IS NOT NULL AND coalesce(d.d, 0) < 10 AS hit FROM p LEFT JOIN d USING (cache, seq)""")
+def lru_hits(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
+    return request_log.lru_hits(rows, 10)
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT user_id AS client, event_id AS seq, epoch_us(ts) / 1e6 AS ts, (event_id % 3)::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS i FROM events),
+f AS (
+  SELECT client, seq, i, ts, cost <= 0 OR 5.0 >= cost AS allowed, CASE WHEN cost > 0 AND 5.0 >= cost THEN 5.0 - cost ELSE 5.0 END AS tokens FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.client, c.seq, c.i, c.ts, c.cost <= 0 OR least(5.0, f.tokens + (c.ts - f.ts) * 0.00001) >= c.cost,
+         CASE WHEN c.cost > 0 AND least(5.0, f.tokens + (c.ts - f.ts) * 0.00001) >= c.cost THEN least(5.0, f.tokens + (c.ts - f.ts) * 0.00001) - c.cost ELSE least(5.0, f.tokens + (c.ts - f.ts) * 0.00001) END
+  FROM f JOIN c ON c.client = f.client AND c.i = f.i + 1)
+SELECT client, seq, allowed, round(tokens, 6) AS tokens FROM f""")
+def rate_limit(spark, sf_dir):
+    calls = _t(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), (F.unix_micros("ts") / 1e6).alias("ts"), (F.col("event_id") % 3).alias("cost"))
+    return limits.limited(calls, 5.0, 0.00001).withColumn("tokens", F.round("tokens", 6))
+
+
+# ---- lookups, costs, budgets ----------------------------------------------------------------------------------------
+
+_MODELS = ["claude-opus-4-x", "claude-3-5-sonnet-latest", "gpt-4o-mini-1", "gpt-4o-2", "gemini-1.5-pro", "unknown-1"]
+_PRICE_VALUES = ", ".join(f"('{p}', '{m}', {a}, {b}, {c if c is not None else 'NULL'}, {d if d is not None else 'NULL'})" for p, m, a, b, c, d in lookup.PRICES)
+_REQUESTS = f"""
+r AS (
+  SELECT event_id, ({_MODELS!r})[event_id % 6 + 1] AS model, (event_id % 100 - 5)::BIGINT AS input_tokens, user_id::BIGINT AS output_tokens,
+         (event_id % 7)::BIGINT AS cache_write_tokens, (event_id % 11)::BIGINT AS cache_read_tokens FROM events),
+v AS (SELECT *, CASE WHEN model LIKE 'claude%' THEN 'anthropic' WHEN model LIKE 'gpt%' THEN 'openai' WHEN model LIKE 'gemini%' THEN 'google' ELSE 'other' END AS provider FROM r),
+p(provider, prefix, a, b, c, d) AS (VALUES {_PRICE_VALUES}),
+m AS (SELECT v.*, p.prefix, p.a, p.b, p.c, p.d, row_number() OVER (PARTITION BY event_id ORDER BY length(prefix) DESC NULLS LAST) AS k FROM v LEFT JOIN p ON p.provider = v.provider AND starts_with(v.model, p.prefix)),
+u AS (
+  SELECT *, prefix IS NOT NULL AS matched, coalesce(round(greatest(0, input_tokens) * coalesce(a::DOUBLE, 0) / 1000000 + greatest(0, output_tokens) * coalesce(b::DOUBLE, 0) / 1000000
+         + greatest(0, cache_write_tokens) * coalesce(c::DOUBLE, 0) / 1000000 + greatest(0, cache_read_tokens) * coalesce(d::DOUBLE, 0) / 1000000, 8), 0) AS usd
+  FROM m WHERE k = 1)"""
+
+
+def _requests(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(
+        "event_id", F.get(F.array(*map(F.lit, _MODELS)), (F.col("event_id") % 6).cast("int")).alias("model"), (F.col("event_id") % 100 - 5).alias("input_tokens"),
+        F.col("user_id").alias("output_tokens"), (F.col("event_id") % 7).alias("cache_write_tokens"), (F.col("event_id") % 11).alias("cache_read_tokens"),
+    )
+    return rows.withColumn("provider", lookup.route(F.col("model"), F.lit(None).cast("string"), [("anthropic", ["claude*"]), ("openai", ["gpt*"]), ("google", ["gemini*"])], "other"))
+
+
+@query(f"WITH {_REQUESTS} SELECT event_id, provider, prefix, round(usd, 6) AS usd, matched FROM u")
+def prefix_prices(spark, sf_dir):
+    rows = lookup.longest_prefix(_requests(spark, sf_dir), lookup.prices(spark))
+    return rows.select("event_id", "provider", F.col("price.prefix").alias("prefix"), F.round(usage.usd(F.col("price")), 6).alias("usd"), F.col("price").isNotNull().alias("matched"))
+
+
+@query(f"""
+WITH {_REQUESTS}
+SELECT provider, model, count(*) AS requests, sum(greatest(0, input_tokens))::BIGINT AS input_tokens, sum(greatest(0, output_tokens))::BIGINT AS output_tokens,
+       sum(greatest(0, cache_write_tokens))::BIGINT AS cache_write_tokens, sum(greatest(0, cache_read_tokens))::BIGINT AS cache_read_tokens,
+       round(sum(usd), 4) AS usd, count(*) FILTER (NOT matched) AS unmatched, grouping(provider, model) > 0 AS total
+FROM u GROUP BY GROUPING SETS ((provider, model), ())""")
+def cost_rollup(spark, sf_dir):
+    return usage.rollup(usage.priced(_requests(spark, sf_dir), lookup.prices(spark))).withColumn("usd", F.round("usd", 4))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_type LIKE 'c%' AND user_id % 2 = 0 THEN 'first' WHEN regexp_matches(event_type, '^.i.*$') THEN 'second' WHEN user_id % 2 = 1 THEN 'third' END AS policy FROM events""")
+def policy_match(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model"), F.when(F.col("user_id") % 2 == 0, "messages").otherwise("count").alias("endpoint"))
+    return lookup.first_rule(rows, [("c*", "messages", "first"), ("?i*", "*", "second"), ("*", "count", "third")]).select("event_id", "policy")
+
+
+@query("""
+SELECT user_id, event_id AS seq, sum(event_id % 50) OVER w AS used, greatest(0, 1000 - sum(event_id % 50) OVER w) AS remaining, sum(event_id % 50) OVER w >= 1000 AS exceeded
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""".replace("sum(event_id % 50) OVER w", "(sum(event_id % 50) OVER w)::BIGINT"))
+def budget_running(spark, sf_dir):
+    calls = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 50).alias("chars"))
+    return usage.running_budget(calls, 1000, by="user_id").drop("chars")
+
+
+# ---- cache ----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT event_id, sha256(props) AS key, value FROM events),
+k AS (SELECT key, min(event_id) AS stored, count(*) AS n FROM e GROUP BY key)
+SELECT event_id, e.event_id > k.stored AS hit FROM e JOIN k USING (key)""")
+def exact_lookup(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_id", F.sha2("props", 256).alias("cache_key"))
+    entries = rows.groupBy("cache_key").agg(F.min("event_id").alias("stored"))
+    return cache.lookups(rows, entries).select("event_id", (F.col("hit") & (F.col("event_id") > F.col("stored"))).alias("hit"))
+
+
+@query("SELECT count(*) AS entries, sum(n)::BIGINT AS bytes, sum(c)::BIGINT AS hits FROM (SELECT props, length(props) AS n, count(*) AS c FROM events WHERE value <= 200 GROUP BY props)")
+def cache_stats(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").filter(cache.admitted(F.lit(200), F.col("value"), 200))
+    return cache.stats(rows.groupBy("props").agg(F.count("*").alias("hit_count"), F.first(F.length("props")).alias("body_bytes")))
+
+
+@query("SELECT event_id, sha256(replace(props, ' ', '')) AS cache_key FROM events")
+def cache_keys(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", cache.cache_key(cache.canonical(F.col("props"))).alias("cache_key"))
+
+
+# ---- conversations as requests --------------------------------------------------------------------------------------
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, text, max(turn) FILTER (role = 'system') OVER (PARTITION BY conv_id) AS wall FROM conversations)
+SELECT conv_id, turn, coalesce(turn <= wall, FALSE) AS protected FROM t""")
+def wall_protection(spark, sf_dir):
+    from gristmill.operators import blocks
+
+    rows = _t(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("request_id"), F.lit("message").alias("kind"), F.col("turn").alias("msg_idx"), F.lit(0).alias("block_idx"), F.lit(None).cast("int").alias("sub_idx"),
+        "role", F.lit("text").alias("block_type"), "text", F.coalesce(F.col("role") == "system", F.lit(False)).alias("has_marker"),
+    )
+    return blocks.with_wall(rows).select(F.col("request_id").alias("conv_id"), F.col("msg_idx").alias("turn"), "protected")
+
+
+@query("""
+SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars_in, sum(least(length(text), 200))::BIGINT AS chars_out,
+       round(100.0 * sum(greatest(0, length(text) - 200)) / sum(length(text)), 4) AS saved_pct FROM documents GROUP BY source""")
+def audit_sums(spark, sf_dir):
+    n = F.length("text")
+    return _t(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count("*").alias("docs"), F.sum(n).alias("chars_in"), F.sum(F.least(n, F.lit(200))).alias("chars_out"), F.round(100.0 * F.sum(F.greatest(F.lit(0), n - 200)) / F.sum(n), 4).alias("saved_pct")
+    )
