@@ -231,10 +231,10 @@ def latency_p95(spark, sf_dir):
 
 
 @query("""
-SELECT count(*) AS requests, count(*) FILTER (event_id % 100 > value) AS compacted, sum(greatest(0, event_id % 100 - value::INT))::BIGINT AS saved,
-       count(*) FILTER (event_type = 'error') AS errors FROM events""".replace("event_id % 100 > value)", "event_id % 100 > value::INT)"))
+SELECT count(*) AS requests, count(*) FILTER (event_id % 100 > floor(value)) AS compacted, sum(greatest(0, event_id % 100 - floor(value)::INT))::BIGINT AS saved,
+       count(*) FILTER (event_type = 'error') AS errors FROM events""")
 def request_totals(spark, sf_dir):
-    return request_log.totals(_t(spark, sf_dir, "events"), F.col("event_type") == "error", F.col("event_id") % 100, F.round("value").cast("int"))
+    return request_log.totals(_t(spark, sf_dir, "events"), F.col("event_type") == "error", F.col("event_id") % 100, F.floor("value"))
 
 
 @query("SELECT event_type AS mode, sum(greatest(0, event_id % 100 - user_id))::BIGINT AS saved FROM events GROUP BY 1")
@@ -276,7 +276,7 @@ f AS (
   FROM f JOIN c ON c.client = f.client AND c.i = f.i + 1)
 SELECT client, seq, allowed, round(tokens, 6) AS tokens FROM f""")
 def rate_limit(spark, sf_dir):
-    calls = _t(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), (F.unix_micros("ts") / 1e6).alias("ts"), (F.col("event_id") % 3).alias("cost"))
+    calls = _t(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("event_id") % 3).alias("cost"))
     return limits.limited(calls, 5.0, 0.00001).withColumn("tokens", F.round("tokens", 6))
 
 
@@ -305,10 +305,10 @@ def _requests(spark, sf_dir):
     return rows.withColumn("provider", lookup.route(F.col("model"), F.lit(None).cast("string"), [("anthropic", ["claude*"]), ("openai", ["gpt*"]), ("google", ["gemini*"])], "other"))
 
 
-@query(f"WITH {_REQUESTS} SELECT event_id, provider, prefix, round(usd, 6) AS usd, matched FROM u")
+@query(f"WITH {_REQUESTS} SELECT event_id, provider, prefix, round(usd * 1e8)::BIGINT AS usd_e8, matched FROM u")
 def prefix_prices(spark, sf_dir):
     rows = lookup.longest_prefix(_requests(spark, sf_dir), lookup.prices(spark))
-    return rows.select("event_id", "provider", F.col("price.prefix").alias("prefix"), F.round(usage.usd(F.col("price")), 6).alias("usd"), F.col("price").isNotNull().alias("matched"))
+    return rows.select("event_id", "provider", F.col("price.prefix").alias("prefix"), F.round(usage.usd(F.col("price")) * 1e8).cast("long").alias("usd_e8"), F.col("price").isNotNull().alias("matched"))
 
 
 @query(f"""
