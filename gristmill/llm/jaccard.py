@@ -11,7 +11,7 @@ smallest one are paired; their links join the large groups of near copies. Then
 yet connected are paired. No pair that could change a component is left out, and groups of near copies don't make all
 their pairs.
 
-For verification, the sets paired with one set are stored in a trie of their ordered shingles, walked depth first; a
+For verification, sets are sent to the groups that need them, and those paired with one set are stored in a trie of their ordered shingles, walked depth first; a
 path's overlap is carried over to what shares it, and a subtree ends where even all remaining shingles can't reach the
 overlap needed.
 
@@ -41,6 +41,8 @@ HEAVY = 100_000
 #: Shingles that a task counts at a time, and partners of a set that one task verifies.
 COUNTED = 2_000_000
 PARTNERS = 256
+#: Shingles of connected candidates that are verified as one group.
+GROUPED = 1_000_000
 CACHED = 500_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _33 = np.uint64(33)
@@ -174,24 +176,33 @@ def postings(docs: DataFrame, text_col: str, order: Order, percent: int = PERCEN
                 long = np.array([len(f) for f in firsts])
                 at = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
                 c = np.repeat(np.array(list(sets), dtype=np.int64), long)
-                yield pa.RecordBatch.from_arrays([_int64(np.concatenate(firsts)), pa.array(c), pa.array(np.repeat(n, long).astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "c", "n", "at"])
+                # 48 bits find who may meet; whether they link is decided on whole hashes.
+                yield pa.RecordBatch.from_arrays([_int64(np.concatenate(firsts) >> np.uint64(16)), pa.array(c), pa.array(np.repeat(n, long).astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "c", "n", "at"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, c long, n int, at int")
 
 
-def ordered_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, order: Order, width: int = WIDTH) -> DataFrame:
-    """c, tokens (in the global order) of the wanted classes; wanted: k, the key of a row that has the set."""
-    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).alias("text")).join(sized(wanted), "k", "left_semi").select("text")
+def sent_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, order: Order, width: int = WIDTH) -> DataFrame:
+    """g, c, tokens (in the global order): the sets of the rows with key k, for each of their groups; wanted: k, groups."""
+    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).alias("text")).join(sized(wanted), "k").select("text", "groups")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = {set_id(s): order.sort(s) for t in b.column("text").to_pylist() if len(s := shingles(t, hashes, width))}
-            if sets:
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets.values()])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), _int64(np.concatenate(list(sets.values()))))], names=["c", "tokens"])
-
-    return rows.mapInArrow(run, "c long, tokens array<long>").dropDuplicates(["c"])
+            sets = {}
+            for text, groups in zip(b.column("text").to_pylist(), b.column("groups").to_pylist(), strict=True):
+                tokens = shingles(text, hashes, width)
+                sets[set_id(tokens)] = order.sort(tokens), groups
+            names, ids, found = [], [], []
+            for c, (tokens, groups) in sets.items():
+                names += groups
+                ids += [c] * len(groups)
+                found += [tokens] * len(groups)
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), _int64(np.concatenate(found) if found else np.zeros(0, np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), lists], names=["g", "c", "tokens"])
+
+    return rows.mapInArrow(run, "g string, c long, tokens array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -200,22 +211,29 @@ def _may_link(a: str, b: str, percent: int) -> str:
         AND (1 + least({a}.n - {a}.at, {b}.n - {b}.at) - 1) * {100 + percent} >= {percent} * ({a}.n + {b}.n)"""
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link. A set with many partners is verified in several tasks."""
+def grouped(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """g, a, b: the pairs, dealt into groups whose sets are small enough for a task. Where the sets that pairs connect
+    are few, they are one group and each set is sent once; else a set and up to about PARTNERS of its partners are."""
+    roots = saved(components(pairs), "candidate-roots")
+    weights = roots.join(classes, roots["node"] == classes["c"]).groupBy("root").agg(F.sum("n").alias("weight"))
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    partners = dealt.join(sets.select(F.col("c").alias("b"), "tokens"), "b")
-    probes = dealt.select(F.col("a").alias("probe"), F.col("part").alias("slot")).distinct().join(sets.select(F.col("c").alias("probe"), F.col("tokens").alias("own")), "probe")
+    dealt = pairs.join(roots.withColumnRenamed("node", "a"), "a").join(weights, "root").join(counts, "a")
+    part = F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), F.col("parts")))
+    return dealt.select(F.when(F.col("weight") <= GROUPED, F.col("root").cast("string")).otherwise(part).alias("g"), "a", "b")
+
 
-    def arrays(t: pa.Table, column: str) -> list[np.ndarray]:
-        return [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in t.column(column)]
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (g, a, b) whose sets (g, c, tokens) link."""
 
-    def one(partners: pa.Table, probe: pa.Table) -> pa.Table:
-        names, sets = partners.column("b").to_pylist(), arrays(partners, "tokens")
-        found = [names[i] for p in arrays(probe, "own") for i in overlaps(p, sets, percent)]
-        return pa.table({"a": pa.array(probe.column("probe").to_pylist()[:1] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+    def one(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        known = {c: t.values.to_numpy(zero_copy_only=False).view(np.uint64) for c, t in zip(sets.column("c").to_pylist(), sets.column("tokens"), strict=True)}
+        partners: dict[int, list[int]] = {}
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            partners.setdefault(a, []).append(b)
+        found = [(a, bs[i]) for a, bs in partners.items() for i in overlaps(known[a], [known[b] for b in bs], percent)]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return partners.groupBy("a", "part").cogroup(probes.groupBy("probe", "slot")).applyInArrow(one, "a long, b long")
+    return pairs.groupBy("g").cogroup(sets.groupBy("g")).applyInArrow(one, "a long, b long")
 
 
 class Join:
@@ -231,24 +249,25 @@ class Join:
         # lag and lead see neighbours only, so a shingle of very many sets is streamed, not gathered. First copies that
         # several tasks have given are dropped, then shingles of a single class.
         met = met.withColumn("before", F.lag("c").over(held)).filter("before is null or before != c")
-        met = met.withColumn("before", F.lag("c").over(held)).withColumn("after", F.lead("c").over(held))
-        met = met.filter("before is not null or after is not null").select("token", "c", "n", "at")
-        met = saved(met, "sets-met")
         me = F.struct("c", "n", "at")
-        near = met.select(me.alias("x"), F.lag(me).over(held).alias("y"), F.first(me).over(held.rowsBetween(Window.unboundedPreceding, 0)).alias("z"))
-        near = near.select("x", F.explode(F.array("y", "z")).alias("y")).filter("y is not null and x.c != y.c").filter(_may_link("x", "y", percent))
+        met = met.select("token", me.alias("x"), "n", "c", *(f(me, i).over(held).alias(f"{f.__name__}{i}") for f in (F.lag, F.lead) for i in (1, 2)), F.first(me).over(held.rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
+        many = F.col("lag2").isNotNull() | F.col("lead2").isNotNull() | (F.col("lag1").isNotNull() & F.col("lead1").isNotNull())
+        met = met.filter("lag1 is not null or lead1 is not null").select("token", "x", F.col("lag1").alias("y"), F.col("least").alias("z"), many.alias("many"))
+        met = saved(met, "sets-met")
+        near = met.select("x", F.explode(F.array("y", "z")).alias("y")).filter("y is not null and x.c != y.c").filter(_may_link("x", "y", percent))
         first = self._pairs(near, "first")
-        places = self.rows.filter("n > 0").groupBy("c").agg(F.min("k").alias("k"))
-        sets = self._sets(docs, id_col, text_col, first, places, order, width)
-        links = saved(verified(first, sets, percent), "set-links")
+        # A row of each class, by which its set is found again.
+        self.classes = self.rows.filter("n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"))
+        send = lambda pairs: self._links(docs, id_col, text_col, pairs, order, width, percent)
+        links = send(first)
+        # Where only two classes meet, their pair is among the first. The others may still be apart.
         roots = saved(components(links), "set-roots").withColumnRenamed("node", "c")
-        placed = saved(met.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "sets-placed")
+        placed = met.filter("many").select("token", "x", F.col("x.c").alias("c"))
+        placed = saved(placed.join(roots, "c", "left").select("token", "x", F.coalesce("root", "c").alias("root")), "sets-placed")
         mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
         apart = placed.join(mixed, "token", "left_semi")
-        x, y = apart.select("token", "root", me.alias("x")), apart.select("token", F.col("root").alias("other"), me.alias("y"))
-        rest = x.join(y, "token").filter("root < other").filter(_may_link("x", "y", percent))
-        second = self._pairs(rest, "second", without=first)
-        more = saved(verified(second, self._sets(docs, id_col, text_col, second, places, order, width), percent), "set-links")
+        rest = apart.join(apart.select("token", F.col("root").alias("other"), F.col("x").alias("y")), "token").filter("root < other").filter(_may_link("x", "y", percent))
+        more = send(self._pairs(rest, "second", without=first))
         self.roots = saved(components(links.unionByName(more)), "set-roots")
 
     @staticmethod
@@ -258,11 +277,11 @@ class Join:
             pairs = pairs.join(without, ["a", "b"], "left_anti")
         return saved(pairs, f"set-pairs-{name}")
 
-    @staticmethod
-    def _sets(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, places: DataFrame, order: Order, width: int) -> DataFrame:
-        classes = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-        wanted = saved(places.join(classes, "c", "left_semi").select("k"), "sets-wanted")
-        return saved(ordered_sets(docs, id_col, text_col, wanted, order, width), "sets-ordered")
+    def _links(self, docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
+        dealt = saved(grouped(pairs, self.classes), "set-groups")
+        ends = dealt.select("g", F.explode(F.array("a", "b")).alias("c")).distinct()
+        wanted = saved(ends.join(self.classes, "c").groupBy("k").agg(F.collect_list("g").alias("groups")), "sets-wanted")
+        return saved(verified(dealt, sent_sets(docs, id_col, text_col, wanted, order, width), percent), "set-links")
 
     def groups(self) -> DataFrame:
         """c, g (the group), first (doc_id and k of the group's first row) of each class with shingles."""
