@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that occur elsewhere before; n_chars follows the text."""
     _begin(spark)
-    out = lines.deduplicated(docs)
+    out = lines.deduplicated(docs, whole=True)
     return _counted(out) if "n_chars" in out.columns else out
 
 

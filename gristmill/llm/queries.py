@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True, whole=True)
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
