@@ -1,9 +1,9 @@
 """Licence scan by a positional index of rare words.
 
 The index holds, for each licence template, its rarest words (highest IDF over the templates) with their positions. In
-a file, the rarest word of a template that the file has is looked up; each of its places gives a start at which the
-template may stand, and the share of the other indexed words found at their relative positions is the start's
-support. A template is reported where the support is high enough and all its mandatory key phrases occur. Base phrases
+a file, the rarest words of a template (as many as no match can be without) are looked up; each of their places gives a
+start at which the template may stand, and the share of all its indexed words found at their relative positions is the
+start's support. A template is reported where the support is high enough and all its mandatory key phrases occur. Base phrases
 are templates whose words must all be in place. Only DataFrame functions are used, in one pass and without a shuffle.
 
 Defined results: a null text counts as empty; an empty text has no words, null places, empty labels and the score 0.0;
@@ -79,19 +79,28 @@ def normalised(text: Column) -> Column:
 def _places(words: Column, text: Column, entry: Entry) -> Column:
     """Starts (array<struct<support double, start int>>) where the entry stands in words."""
     tried = entry.words[: len(entry.words) - math.ceil(entry.need * len(entry.words)) + 1]  # one of them is in any match
-    anchor = F.coalesce(*(F.when(F.contains(text, F.lit(f" {w} ")), F.struct(F.lit(w).alias("w"), F.lit(i).alias("i"))) for w, i in tried))
-
-    def at(a: Column) -> Column:
-        found = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == a["w"])
-        hit = lambda s: sum((F.when(F.get(words, s + F.lit(i)) == w, 1).otherwise(0) for w, i in entry.words), F.lit(0))
-        starts = F.transform(found, lambda i: F.struct((hit(i - a["i"]) / len(entry.words)).alias("support"), (i - a["i"]).alias("start")))
-        return F.filter(starts, lambda x: (x["support"] >= entry.need) & ((x["start"] >= 0) if entry.base else F.lit(True)))
-
+    has = lambda w: F.contains(text, F.lit(f" {w} "))
+    place: dict[str, int] = dict(tried)
+    word = F.lit(False)
+    for w in place:
+        word = word | has(w)
+
+    def offset(w: Column) -> Column:
+        found = F.lit(None).cast("int")
+        for x, i in place.items():
+            found = F.when(w == x, i).otherwise(found)
+        return found
+
+    found = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(list(place)))
+    hit = lambda s: sum((F.when(F.get(words, s + F.lit(i)) == w, 1).otherwise(0) for w, i in entry.words), F.lit(0))
+    starts = F.array_distinct(F.transform(found, lambda i: i - offset(F.get(words, i))))
+    placed = F.transform(starts, lambda s: F.struct((hit(s) / len(entry.words)).alias("support"), s.alias("start")))
+    placed = F.filter(placed, lambda x: (x["support"] >= entry.need) & ((x["start"] >= 0) if entry.base else F.lit(True)))
     none = F.array().cast("array<struct<support:double,start:int>>")
-    ready = F.lit(True)
+    ready = word
     for phrase in entry.phrases:
         ready = ready & F.contains(text, F.lit(f" {phrase} "))
-    return F.when(anchor.isNotNull() & ready, _let(anchor, at)).otherwise(none)
+    return F.when(ready, placed).otherwise(none)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries: list[Entry] | None = None) -> DataFrame:

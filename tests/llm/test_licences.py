@@ -60,3 +60,12 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert licences.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_stray_anchor_words(spark):
+    said = "This program is licensed under the GNU General Public License version 3."
+    texts = [said + " Other work.", "work " * 3 + said, "Distributed under the MIT License. It was released today.", "word " * 5000 + said + " work" * 50, "released " * 20 + "x " * 3000 + "distributed under the MIT License", "gnu work 3 general public license"]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licences.scan(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert ["gpl-3.0" in got[i] for i in (0, 1, 3, 5)] == [True, True, True, False] and "mit" in got[2] and "mit" in got[4]
+    for i, t in enumerate(texts):
+        assert got[i] - {""} == brute(t)[4] | templates(t)
