@@ -5,9 +5,10 @@ conversation are rendered, and consecutive outputs are compared: if the longer o
 added is the new turn's span; if not, the template rewrites history, and what was rendered so far is closed as an
 output of its own. Within its span, a turn's text is located by rendering the turn once more with a probe text.
 
-Long conversations are rendered in windows of max_turns turns (the template is told the number of the first), so that
-memory is bounded and work stays proportional to the input; a conversation's turns reach one task in order, as a sorted
-stream that is never held as a whole.
+A conversation is compared over all its turns, which are held and rendered once for each prefix. Only with a template
+that is known to append (what it writes for a turn never depends on later ones), long conversations are rendered in
+windows of max_turns turns (the template is told the number of the first), so that memory is bounded and work stays
+proportional to the input; a conversation's turns reach one task in order, as a sorted stream.
 
 Defined results: a null text or role is empty; rows with equal turn numbers are ordered by role and text, and repeated
 rows are turns of their own; rows with a null conv_id are one conversation; null turns come first; an empty table gives
@@ -51,6 +52,7 @@ class Template(NamedTuple):
     render: Callable[[list[Turn], int], str]
     unescape: Callable[[str], str]
     parse: Callable[[str], Iterator[tuple[str, str, bool]]] | None = None  #: role, text, whether it is learned
+    appends: bool = False  #: never rewrites history, so windows can be rendered alone
 
 
 # The bracket template. Its control strings.
@@ -97,7 +99,7 @@ def parse_brackets(text: str) -> Iterator[tuple[str, str, bool]]:
             yield unescape(m["role"]), unescape(m["text"]), False
 
 
-BRACKETS = Template(render_brackets, unescape, parse_brackets)
+BRACKETS = Template(render_brackets, unescape, parse_brackets, True)
 
 
 def locate(template: Template, turns: list[Turn], first: int, before: str, after: str) -> Span:
@@ -135,7 +137,7 @@ FORMATTED = pa.schema(
 FORMATTED_DDL = "conv_id long, window long, part int, first_turn long, formatted string, rewritten boolean, spans array<struct<role string, start int, end int, text_start int, text_end int, learned boolean, exact boolean>>"
 
 
-def _windows(rows: Iterable[tuple], max_turns: int) -> Iterator[tuple[int | None, int, list[Turn]]]:
+def _windows(rows: Iterable[tuple], max_turns: int | None) -> Iterator[tuple[int | None, int, list[Turn]]]:
     """conv_id, number of the first turn, turns."""
     held, conv, first = [], None, 0
     for i, (conv_id, role, text) in enumerate(rows):
@@ -175,7 +177,7 @@ def format_conversations(
 
     def outputs(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         stream = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True))
-        for conv, first, turns in _windows(stream, max_turns):
+        for conv, first, turns in _windows(stream, max_turns if template.appends else None):
             for part, r in enumerate(render_turns(template, turns, first)):
                 spans = []
                 for (role, text), s in zip(turns[r.first - first :], r.spans, strict=False):

@@ -64,3 +64,15 @@ def test_rewritten_history_is_found():
 def test_template_that_hides_a_text():
     out = chat.render_turns(chat.Template(lambda turns, _: "".join(f"<{r}>" for r, _ in turns), lambda t: t), [("user", "x")])
     assert out[0].spans == [chat.Span(0, 6, -1, -1)]
+
+
+def test_history_rewritten_after_many_turns(spark):
+    """A template that shows only the last 40 turns."""
+
+    def render(turns, first):
+        return "".join(f"{r}: {t}\n" for r, t in turns[-40:])
+
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(70)]
+    got = sorted(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.Template(render, lambda t: t)).collect(), key=lambda r: r.part)
+    assert [(r.first_turn, len(r.spans), r.rewritten) for r in got] == [(0, 40, True)] + [(i, 1, i < 69) for i in range(40, 70)]
+    assert got[-1].formatted == render([r[2:] for r in rows], 0)
