@@ -29,6 +29,22 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sig.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
 
+def _members(hashed: DataFrame, key: str) -> DataFrame:
+    """doc_id, rep: each row of hashed (id, key) with the smallest id that has its key; a row without a key has no rep."""
+    reps = hashed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("rep"))
+    return hashed.join(reps, key, "left").select(F.col("id").alias("doc_id"), "rep")
+
+
+def signature_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perms: int = 32, width: int = 5) -> DataFrame:
+    """doc_id, rep: the row of signatures() that each document belongs to."""
+    return _members(docs.select(F.col(id_col).alias("id"), sketch.minhash(F.col(text_col), perms, width).alias("sig")), "sig")
+
+
+def simhash_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """doc_id, rep: the id that stands for each document in simhash_pairs()."""
+    return _members(docs.select(F.col(id_col).alias("id"), F.nullif(sketch.simhash(F.col(text_col), width), F.lit(0).cast("long")).alias("h")), "h")
+
+
 def band_candidates(sigs: DataFrame, id_col: str, sig_col: str, bands: int, rows: int) -> DataFrame:
     """a, b: pairs of ids (a < b) whose signatures are equal in a band; one equi-join on band number and key."""
     keys = sigs.select(F.col(id_col).alias("id"), F.posexplode(sketch.bands(F.col(sig_col), bands, rows)).alias("band", "key"))

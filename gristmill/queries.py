@@ -57,6 +57,29 @@ def minhash_signatures(spark, sf_dir):
     return near_dup.signatures(_t(spark, sf_dir, "documents")).select("rep", "copies", F.array_join("sig", ",").alias("sig"))
 
 
+_MEMBERS = "SELECT doc_id, rep FROM documents LEFT JOIN (SELECT g.doc_id, min(g.doc_id) OVER (PARTITION BY g.sig) AS rep FROM g) USING (doc_id)"
+#: The aggressive level: 128 permutations in 32 bands of 4.
+_PAIRS_128 = _PAIRS.replace("range(1, 33)", "range(1, 129)").replace("range(0, 8)", "range(0, 32)").replace("/ 32.0", "/ 128.0")
+
+
+@query(f"WITH {_SIGNATURES} {_MEMBERS}")
+def minhash_members(spark, sf_dir):
+    """The classes that near_dup_pairs, minhash_signatures and leader_dedupe name by rep."""
+    return near_dup.signature_members(_t(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_PAIRS_128} SELECT a, b, sim FROM q WHERE sim >= 0.8")
+def near_dup_pairs_aggressive(spark, sf_dir):
+    level = near_dup.LEVELS["aggressive"]
+    return near_dup.near_duplicates(_t(spark, sf_dir, "documents"), perms=level.bands * level.rows, bands=level.bands, threshold=level.threshold)
+
+
+@query(f"WITH {_PAIRS_128} {_MEMBERS}")
+def near_dup_members_aggressive(spark, sf_dir):
+    level = near_dup.LEVELS["aggressive"]
+    return near_dup.signature_members(_t(spark, sf_dir, "documents"), perms=level.bands * level.rows)
+
+
 @query(f"""
 WITH RECURSIVE {_PAIRS},
 e AS (SELECT a, b, sim FROM q WHERE sim >= 0.8),
@@ -109,6 +132,12 @@ def simhash_pairs(spark, sf_dir):
     return near_dup.simhash_pairs(_t(spark, sf_dir, "documents"))
 
 
+@query(f"WITH {_SIMHASH} SELECT doc_id, CASE WHEN h <> 0 THEN min(doc_id) OVER (PARTITION BY h) END AS rep FROM documents LEFT JOIN h USING (doc_id)")
+def simhash_members(spark, sf_dir):
+    """The classes that simhash_pairs names by their smallest ids."""
+    return near_dup.simhash_members(_t(spark, sf_dir, "documents"))
+
+
 @query()
 def projection_nearest(spark, sf_dir):
     return near_dup.projection_nearest(_t(spark, sf_dir, "documents"))

@@ -38,3 +38,10 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, DIR).count() >= 0
+
+
+def test_every_document_has_its_class(spark):
+    """Copies are in no row of the pairs: the members name them."""
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, "seven"), (4, ""), (5, None)], "doc_id long, text string")
+    for members in (queries.near_dup.signature_members(docs), queries.near_dup.signature_members(docs, perms=128), queries.near_dup.simhash_members(docs)):
+        assert {r.doc_id: r.rep for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: None, 5: None}
