@@ -4,20 +4,21 @@ A document is its set of word shingles (64-bit hashes; equal sets are one class,
 ordered by one global order, rare shingles first: shingles that repeat within tasks are counted, the most frequent
 HEAVY of them come last by count, all others by hash. Any order gives the same links; this one keeps passages that many
 documents share out of the sets' beginnings. Two sets that link share one of the first n - ceil(t n) + 1 shingles of
-each, so classes meet on these. Lengths and positions rule most meetings out.
+each, so classes meet on these.
 
-Candidates are found in two rounds. First, within the classes that meet on a shingle, only neighbours by size and the
-smallest one are paired; their links join the large groups of near copies. Then all other meetings between what is not
-yet connected are paired. No pair that could change a component is left out, and groups of near copies don't make all
-their pairs.
+Where few classes meet, each pair whose sizes and positions leave room for the overlap is a candidate. Where more do, one
+task looks at their pairs and gives only what connects them, so that rows stay in proportion to classes; a shingle of
+very many classes is dealt out in pairs of blocks. Of both, only pairs stay whose sketches allow a link: a sketch holds
+the parity of each of about n hash buckets, and sets differ in at least as many shingles as their sketches in bits.
 
-For verification, sets are sent to the groups that need them, and those paired with one set are stored in a trie of their ordered shingles, walked depth first; a
-path's overlap is carried over to what shares it, and a subtree ends where even all remaining shingles can't reach the
-overlap needed.
+Sets that candidates connect are sent to one task, each once, and are stored in a trie (see trie.py). It is walked by all
+sets at once: a path's overlap is carried over to what shares it, a subtree ends where even all remaining shingles can't
+reach the overlap needed, and sets that are already connected are passed over. Candidates that connect more than
+GROUPED shingles are dealt out in pairs of blocks; only for those the work grows faster than the group.
 
 Defined results: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words
 than a shingle's are one shingle; repeated rows are equal sets, each with a row of its own; a null id takes part, but
-isn't a component's name unless all its ids are null; an empty table gives no rows.
+isn't a component's name unless all its ids are null; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,22 +28,25 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.llm.components import components
-from gristmill.llm.shared import row_key, saved, sized
+from gristmill.llm.shared import row_key, saved, sized, unused
+from gristmill.llm.trie import Trie
 
 WIDTH = 5
 PERCENT = 75
 #: Shingles that the global order puts last by their count. Bounds what each task is sent; links don't depend on it.
 HEAVY = 100_000
-#: Shingles that a task counts at a time, and partners of a set that one task verifies.
+#: Shingles that a task counts at a time.
 COUNTED = 2_000_000
-PARTNERS = 256
-#: Shingles of connected candidates that are verified as one group.
-GROUPED = 1_000_000
+#: Classes that meet on a shingle of which all pairs become rows, and classes of a block where more meet.
+FEW = 8
+BLOCK = 2048
+#: Shingles of connected candidates that one task holds.
+GROUPED = 2_000_000
 CACHED = 500_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _33 = np.uint64(33)
@@ -77,8 +81,33 @@ def shingles(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.nda
     return np.unique(h)
 
 
-def set_id(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def set_id(tokens: np.ndarray) -> bytes:
+    """128 bits: different sets don't meet by chance."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
+def short_id(whole: bytes) -> int:
+    """64 bits of a set_id, for postings; classes that share them are candidates together, but are told apart after."""
+    return int.from_bytes(whole[:8], "little", signed=True)
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of each of 64, 128, ... (at least as many as tokens) buckets of the tokens."""
+    width = 64
+    while width < len(tokens):
+        width *= 2
+    return np.packbits((np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Sketches (rows of bytes) as they are with half as many buckets."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
+def most_apart(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles linked sets of these sizes (sums of two) may differ in."""
+    return sizes - 2 * (-(-percent * sizes // (100 + percent)))
 
 
 class Order:
@@ -103,36 +132,17 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, step: int = 64) -> Iterator[int]:
-    """Index of each set that links with probe. The sets are a trie's paths: in the order of a depth-first walk, each
-    begins where it leaves the one before, with the overlap counted so far."""
-    own = np.sort(probe)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
-    path, count = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # count[d]: overlap of the path's first d shingles
-    for i in order:
-        tokens = sets[i]
-        need = -(-percent * (len(own) + len(tokens)) // (100 + percent))
-        common = min(len(path), len(tokens), len(count) - 1)
-        apart = np.flatnonzero(path[:common] != tokens[:common])
-        depth = int(apart[0]) if len(apart) else common
-        count = count[: depth + 1]
-        while depth < len(tokens) and count[-1] + len(tokens) - depth >= need:
-            part = tokens[depth : depth + step]
-            at = np.minimum(np.searchsorted(own, part), len(own) - 1)
-            count = np.concatenate([count, count[-1] + np.cumsum(own[at] == part)])
-            depth += len(part)
-        path = tokens
-        if depth == len(tokens) and count[-1] >= need:
-            yield i
-
-
 def _int64(tokens: np.ndarray) -> pa.Array:
     return pa.array(tokens.view(np.int64))
 
 
+TOLD = pa.schema([("token", pa.int64()), ("c", pa.binary()), ("h", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("k", pa.binary()), ("bits", pa.binary())])
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """One pass over the texts. Rows with a null token: c (the set), n, doc_id, k (row key) of each document. Others:
-    token and n, how often it repeats among the different sets that a task counts at a time."""
+    """One pass over the texts. Rows with a null token: c (the set), h (its short id), n, doc_id, k (row key) and bits (the
+    sketch) of each document. Others: token and n, how often it repeats among the different sets that a task counts at
+    a time."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("k"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +151,16 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
         def repeats() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
-            none = lambda kind: pa.nulls(len(tokens), kind)
-            return pa.RecordBatch.from_arrays([_int64(tokens), none(pa.int64()), pa.array(counts), none(pa.int64()), none(pa.string())], names=["token", "c", "n", "doc_id", "k"])
+            none = {f.name: pa.nulls(len(tokens), f.type) for f in TOLD}
+            return pa.RecordBatch.from_arrays([*(none | {"token": _int64(tokens), "n": pa.array(counts)}).values()], schema=TOLD)
 
         for b in batches:
             sets = [shingles(t, hashes, width) for t in b.column("text").to_pylist()]
             ids = [set_id(s) for s in sets]
-            n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.int64()), n, b.column("doc_id"), b.column("k")], names=["token", "c", "n", "doc_id", "k"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.binary()), pa.array(map(short_id, ids), pa.int64()), pa.array(map(len, sets), pa.int64()), b.column("doc_id"), b.column("k"), pa.array(map(sketch, sets), pa.binary())],
+                schema=TOLD,
+            )
             for s, c in zip(sets, ids, strict=True):
                 if c not in seen:
                     seen.add(c)
@@ -160,11 +172,11 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
         if held:
             yield repeats()
 
-    return rows.mapInArrow(run, "token long, c long, n long, doc_id long, k string")
+    return rows.mapInArrow(run, "token long, c binary, h long, n long, doc_id long, k binary, bits binary")
 
 
 def postings(docs: DataFrame, text_col: str, order: Order, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """token, c, n, at: the beginnings of the sets; copies within a batch give theirs once."""
+    """token, h, n, at: the beginnings of the sets; copies within a batch give theirs once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -175,113 +187,172 @@ def postings(docs: DataFrame, text_col: str, order: Order, percent: int = PERCEN
                 firsts = [order.sort(s)[: prefix_length(len(s), percent)] for s in sets.values()]
                 long = np.array([len(f) for f in firsts])
                 at = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-                c = np.repeat(np.array(list(sets), dtype=np.int64), long)
+                h = np.repeat(np.array([short_id(c) for c in sets], dtype=np.int64), long)
                 # 48 bits find who may meet; whether they link is decided on whole hashes.
-                yield pa.RecordBatch.from_arrays([_int64(np.concatenate(firsts) >> np.uint64(16)), pa.array(c), pa.array(np.repeat(n, long).astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "c", "n", "at"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, c long, n int, at int")
-
-
-def sent_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, order: Order, width: int = WIDTH) -> DataFrame:
-    """g, c, tokens (in the global order): the sets of the rows with key k, for each of their groups; wanted: k, groups."""
-    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).alias("text")).join(sized(wanted), "k").select("text", "groups")
+                yield pa.RecordBatch.from_arrays([_int64(np.concatenate(firsts) >> np.uint64(16)), pa.array(h), pa.array(np.repeat(n, long).astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "h", "n", "at"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, h long, n int, at int")
+
+
+def meetings(postings: DataFrame, percent: int = PERCENT, few: int = FEW) -> DataFrame:
+    """token, h, n, partners, many, s1, s2: the classes that meet on a shingle. partners: the ones before it (by size) that
+    it may link with, where at most few meet; s1 and s2 are the same for shingles on which the same classes meet.
+
+    Windows stream a shingle's classes; only counts and the last few rows are held.
+    """
+    held, all_of = Window.partitionBy("token").orderBy("n", "h"), Window.partitionBy("token")
+    me = F.struct("h", "n", "at")
+    # First copies that several tasks have given are dropped, then shingles of a single class.
+    met = postings.withColumn("lag1", F.lag(F.struct("n", "h")).over(held)).filter("lag1 is null or lag1 != struct(n, h)")
+    met = met.select("token", "h", "n", "at", F.lag(me).over(held).alias("lag1"), F.lead("h").over(held).alias("next")).filter("lag1 is not null or next is not null")
+    more = [F.lag(me, i).over(held).alias(f"lag{i}") for i in range(2, few)]
+    signs = [F.bit_xor(F.xxhash64("h", F.lit(i))).over(all_of).alias(f"s{i}") for i in (1, 2)]
+    met = met.select("token", "h", "n", "at", "lag1", *more, F.count("*").over(all_of).alias("many"), *signs)
+
+    def may_link(y: Column) -> Column:
+        room = F.least(F.col("n") - F.col("at"), y["n"] - y["at"]) * (100 + percent) >= percent * (F.col("n") + y["n"])
+        return (100 * y["n"] >= percent * F.col("n")) & room
+
+    partners = [F.when((F.col("many") <= few) & may_link(F.col(f"lag{i}")), F.col(f"lag{i}.h")) for i in range(1, few)]
+    met = met.select("token", "h", "n", F.array_compact(F.array(*partners)).alias("partners"), "many", "s1", "s2")
+    return met.filter((F.col("many") > few) | (F.size("partners") > 0))
+
+
+def paired(met: DataFrame, classes: DataFrame, percent: int = PERCENT, few: int = FEW) -> DataFrame:
+    """a, b: the candidates where few meet."""
+    pairs = met.filter(F.col("many") <= few).select("h", F.explode("partners").alias("b")).select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct()
+
+    @F.arrow_udf("boolean")
+    def close(x: pa.Array, y: pa.Array, sizes: pa.Array) -> pa.Array:
+        out = []
+        for p, q, most in zip(x.to_pylist(), y.to_pylist(), most_apart(sizes.to_numpy(), percent).tolist(), strict=True):
+            p, q = (np.frombuffer(s, np.uint8)[None] for s in sorted((p, q), key=len))
+            while q.shape[1] > p.shape[1]:
+                q = folded(q)
+            out.append(int(np.bitwise_count(p ^ q).sum()) <= most)
+        return pa.array(out, pa.bool_())
+
+    ends = (classes.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    for end, x in zip(ends, "ab", strict=True):
+        pairs = pairs.join(end, x)
+    return pairs.filter(close("bitsa", "bitsb", F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def connected(n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """A label for each of some classes (by ascending n), equal within what candidates connect."""
+    labels = np.arange(len(n))
+    lengths = np.array([len(x) for x in bits])
+    # Sizes of a pair are at most a factor of 100 / percent apart: sketches are of one length, or the larger's is folded.
+    rows = {int(w): np.flatnonzero(lengths == w) for w in np.unique(lengths)}
+    whole = {w: np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1) for w, at in rows.items()}
+    place = np.zeros(len(n), np.int64)
+    for at in rows.values():
+        place[at] = np.arange(len(at))
+    larger = np.searchsorted(n, n * 100 // percent, side="right")
+    for i in range(len(n)):
+        x, kept = bits[i], int(lengths[i])
+        own = np.frombuffer(x, np.uint64)
+        for w in (y for y in rows if y >= kept):
+            at = rows[w][np.searchsorted(rows[w], i, side="right") : np.searchsorted(rows[w], larger[i])]
+            at = at[labels[at] != labels[i]]
+            if not len(at):
+                continue
+            other = whole[w][place[at]]
+            while other.shape[1] > len(own):
+                half = other.shape[1] // 2
+                other = other[:, :half] ^ other[:, half:]
+            apart = np.bitwise_count(other ^ own).sum(1, dtype=np.int64)
+            for label in np.unique(labels[at[apart <= most_apart(n[at] + n[i], percent)]]):
+                labels[labels == label] = labels[i]
+    return labels
+
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key; the rows of a key follow each other."""
+    held: list[pa.RecordBatch] = []
+    before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        starts = np.flatnonzero(np.logical_or.reduce([np.append(True, c[1:] != c[:-1]) for c in columns]))
+        for lo, hi in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
+            key = [c[lo] for c in columns]
+            if held and key != before:
+                yield pa.Table.from_batches(held)
+                held = []
+            before = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(weight: Column, most: int, key: str) -> Column:
+    """i, j of each pair of blocks (i <= j) that the row is in; a single pair if weight is at most `most`."""
+    blocks = F.ceil(weight / most).cast("int")
+    own = F.pmod(F.xxhash64(key), blocks).cast("int")
+    pair = lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))
+    return F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), pair))
+
+
+def gathered(met: DataFrame, classes: DataFrame, percent: int = PERCENT, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """a, b: what connects the candidates where more meet. Shingles on which the same classes meet count once."""
+    met = met.filter(F.col("many") > few)
+    once = met.groupBy("s1", "s2").agg(F.min("token").alias("token")).select("token")
+    rows = met.join(once, "token", "left_semi").select("token", "h", "n", "many").join(classes.select("h", "n", "bits"), ["h", "n"])
+    rows = rows.select("token", _blocks(F.col("many"), block, "h").alias("u"), "h", "n", "bits").select("token", "u.i", "u.j", "h", "n", "bits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            sets = {}
-            for text, groups in zip(b.column("text").to_pylist(), b.column("groups").to_pylist(), strict=True):
-                tokens = shingles(text, hashes, width)
-                sets[set_id(tokens)] = order.sort(tokens), groups
-            names, ids, found = [], [], []
-            for c, (tokens, groups) in sets.items():
-                names += groups
-                ids += [c] * len(groups)
-                found += [tokens] * len(groups)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), _int64(np.concatenate(found) if found else np.zeros(0, np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), lists], names=["g", "c", "tokens"])
-
-    return rows.mapInArrow(run, "g string, c long, tokens array<long>")
-
+        for t in _runs(batches, ["token", "i", "j"]):
+            h = t.column("h").to_numpy()
+            labels = connected(t.column("n").to_numpy().astype(np.int64), t.column("bits").to_pylist(), percent)
+            tied = labels != np.arange(len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(h[tied]), pa.array(h[labels[tied]])], names=["a", "b"])
 
-def _may_link(a: str, b: str, percent: int) -> str:
-    """SQL: lengths and positions of the shared shingle leave room for the overlap needed."""
-    return f"""100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)
-        AND (1 + least({a}.n - {a}.at, {b}.n - {b}.at) - 1) * {100 + percent} >= {percent} * ({a}.n + {b}.n)"""
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n").mapInArrow(run, "a long, b long")
 
 
-def grouped(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """g, a, b: the pairs, dealt into groups whose sets are small enough for a task. Where the sets that pairs connect
-    are few, they are one group and each set is sent once; else a set and up to about PARTNERS of its partners are."""
-    roots = saved(components(pairs), "candidate-roots")
-    weights = roots.join(classes, roots["node"] == classes["c"]).groupBy("root").agg(F.sum("n").alias("weight"))
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
-    dealt = pairs.join(roots.withColumnRenamed("node", "a"), "a").join(weights, "root").join(counts, "a")
-    part = F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), F.col("parts")))
-    return dealt.select(F.when(F.col("weight") <= GROUPED, F.col("root").cast("string")).otherwise(part).alias("g"), "a", "b")
+def linked(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """a, b: sets, and one that they are connected with by links. wanted: k (of a row of each set), root, i, j (the task)."""
+    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).alias("text")).join(sized(wanted), "k").select("text", "root", "i", "j")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for t in _runs(batches, ["root", "i", "j"]):
+            found = {}
+            for chunk in t.column("text").chunks:
+                for text in chunk:
+                    tokens = shingles(text.as_py(), hashes, width)
+                    found[set_id(tokens)] = tokens
+            ids = list(found)
+            labels = Trie(list(found.values()), percent).groups().tolist()
+            a, b = [ids[i] for i, x in enumerate(labels) if x != i], [ids[x] for i, x in enumerate(labels) if x != i]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (g, a, b) whose sets (g, c, tokens) link."""
-
-    def one(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        known = {c: t.values.to_numpy(zero_copy_only=False).view(np.uint64) for c, t in zip(sets.column("c").to_pylist(), sets.column("tokens"), strict=True)}
-        partners: dict[int, list[int]] = {}
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            partners.setdefault(a, []).append(b)
-        found = [(a, bs[i]) for a, bs in partners.items() for i in overlaps(known[a], [known[b] for b in bs], percent)]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return pairs.groupBy("g").cogroup(sets.groupBy("g")).applyInArrow(one, "a long, b long")
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
 class Join:
     """The join of a table with itself: rows (c, n, doc_id, k) and roots (node, root) of connected classes."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, heavy: int = HEAVY) -> None:
+    def __init__(
+        self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, heavy: int = HEAVY, few: int = FEW, block: int = BLOCK, grouped: int = GROUPED
+    ) -> None:
         told = saved(describe(docs, id_col, text_col, width), "sets-told")
-        self.rows = told.filter("token is null").drop("token")
+        self.rows = told.filter("token is null").drop("token", "bits")
         last = told.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(heavy)
         order = Order([(r["token"], r["n"]) for r in last.collect()])
-        held = Window.partitionBy("token").orderBy("n", "c")
-        met = postings(docs, text_col, order, percent, width)
-        # lag and lead see neighbours only, so a shingle of very many sets is streamed, not gathered. First copies that
-        # several tasks have given are dropped, then shingles of a single class.
-        met = met.withColumn("before", F.lag("c").over(held)).filter("before is null or before != c")
-        me = F.struct("c", "n", "at")
-        met = met.select("token", me.alias("x"), "n", "c", *(f(me, i).over(held).alias(f"{f.__name__}{i}") for f in (F.lag, F.lead) for i in (1, 2)), F.first(me).over(held.rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
-        many = F.col("lag2").isNotNull() | F.col("lead2").isNotNull() | (F.col("lag1").isNotNull() & F.col("lead1").isNotNull())
-        met = met.filter("lag1 is not null or lead1 is not null").select("token", "x", F.col("lag1").alias("y"), F.col("least").alias("z"), many.alias("many"))
-        met = saved(met, "sets-met")
-        near = met.select("x", F.explode(F.array("y", "z")).alias("y")).filter("y is not null and x.c != y.c").filter(_may_link("x", "y", percent))
-        first = self._pairs(near, "first")
-        # A row of each class, by which its set is found again.
-        self.classes = self.rows.filter("n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"))
-        send = lambda pairs: self._links(docs, id_col, text_col, pairs, order, width, percent)
-        links = send(first)
-        # Where only two classes meet, their pair is among the first. The others may still be apart.
-        roots = saved(components(links), "set-roots").withColumnRenamed("node", "c")
-        placed = met.filter("many").select("token", "x", F.col("x.c").alias("c"))
-        placed = saved(placed.join(roots, "c", "left").select("token", "x", F.coalesce("root", "c").alias("root")), "sets-placed")
-        mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
-        apart = placed.join(mixed, "token", "left_semi")
-        rest = apart.join(apart.select("token", F.col("root").alias("other"), F.col("x").alias("y")), "token").filter("root < other").filter(_may_link("x", "y", percent))
-        more = send(self._pairs(rest, "second", without=first))
-        self.roots = saved(components(links.unionByName(more)), "set-roots")
-
-    @staticmethod
-    def _pairs(met: DataFrame, name: str, without: DataFrame | None = None) -> DataFrame:
-        pairs = met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-        if without is not None:
-            pairs = pairs.join(without, ["a", "b"], "left_anti")
-        return saved(pairs, f"set-pairs-{name}")
-
-    def _links(self, docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
-        dealt = saved(grouped(pairs, self.classes), "set-groups")
-        ends = dealt.select("g", F.explode(F.array("a", "b")).alias("c")).distinct()
-        wanted = saved(ends.join(self.classes, "c").groupBy("k").agg(F.collect_list("g").alias("groups")), "sets-wanted")
-        return saved(verified(dealt, sent_sets(docs, id_col, text_col, wanted, order, width), percent), "set-links")
+        # A row of each class, by which its text is found again.
+        classes = told.filter("token is null and n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("h").alias("h"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
+        classes = saved(classes, "set-classes")
+        met = saved(meetings(postings(docs, text_col, order, percent, width), percent, few), "sets-met")
+        candidates = paired(met, classes, percent, few).unionByName(gathered(met, classes, percent, few, block))
+        roots = saved(components(candidates), "set-candidates")
+        placed = roots.join(classes.select(F.col("h").alias("node"), "c", "k", "n"), "node")
+        weights = placed.groupBy("root").agg(F.sum("n").alias("weight"))
+        wanted = placed.join(weights, "root").select("k", "root", _blocks(F.col("weight"), grouped, "c").alias("u")).select("k", "root", "u.i", "u.j")
+        links = linked(docs, id_col, text_col, saved(wanted, "sets-wanted"), percent, width)
+        self.roots = saved(components(links), "set-roots")
 
     def groups(self) -> DataFrame:
         """c, g (the group), first (doc_id and k of the group's first row) of each class with shingles."""
@@ -291,26 +362,24 @@ class Join:
         return classes.select("c", "g").join(classes.groupBy("g").agg(F.min("first").alias("first")), "g")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, **settings: int) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    found = Join(docs, id_col, text_col, percent, width)
+    found = Join(docs, id_col, text_col, percent, width, **settings)
     empty = found.rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rest = found.rows.filter("n > 0").join(found.groups(), "c").select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
     return empty.unionByName(rest)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, **settings: int) -> DataFrame:
     """The rows of docs, as they are, without all but the first (smallest id) of each group of linked documents. Of rows
     that repeat an id and a text, one stays; documents without words all stay."""
-    found = Join(docs, id_col, text_col, percent, width)
+    found = Join(docs, id_col, text_col, percent, width, **settings)
     full = found.rows.filter("n > 0")
     fates = full.groupBy("k").agg(F.first("c").alias("c"), F.count("*").alias("copies")).join(found.groups(), "c")
     fates = saved(fates.select("k", (F.col("k") == F.col("first.k")).alias("stays"), "copies").filter("not stays or copies > 1"), "set-fates")
-    keyed = docs.withColumn(KEY, row_key(F.col(id_col), F.col(text_col)))
-    gone = keyed.join(sized(fates.select(F.col("k").alias(KEY))), KEY, "left_anti")
-    repeated = fates.filter("stays").select(F.col("k").alias(KEY))
-    once = keyed.join(sized(repeated), KEY, "left_semi").dropDuplicates([KEY])
+    key = unused("row_key", docs.columns)
+    keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    gone = keyed.join(sized(fates.select(F.col("k").alias(key))), key, "left_anti")
+    repeated = fates.filter("stays").select(F.col("k").alias(key))
+    once = keyed.join(sized(repeated), key, "left_semi").dropDuplicates([key])
     return gone.unionByName(once).select(*docs.columns)
-
-
-KEY = "__row_key"

@@ -3,37 +3,53 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Only where the session names no shared folder (local runs and tests).
+#: Only for a local master, whose driver and tasks are one machine.
 LOCAL_DIR = "file:///tmp/checkpoints/gristmill"
 ARROW_ROWS = "1000"
 ARROW_BYTES = str(32 << 20)
 
-_written: list[str] = []
+_noted: ContextVar[list[str] | None] = ContextVar("_noted", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; LOCAL_DIR where spark.checkpoint.dir is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    """The folder that the driver and all executors share. A cluster has to name it in spark.checkpoint.dir."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
-def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors. With
-    keep, release() leaves it."""
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep:
-        _written.append(path)
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables of saved(); only once nothing that reads them is still to run."""
-    while _written:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Within, saved() adds the paths that it writes to paths."""
+    before = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(before)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes what is at the paths and empties the list; only once nothing that reads them is still to run."""
+    while paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
@@ -47,15 +63,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a table of keys up to which it is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
+#: What a row and a value take in a broadcast table, about.
+ROW_BYTES, VALUE_BYTES = 48, 16
+
 
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a saved table), marked for broadcasting if its rows have been counted to take at most `most` bytes."""
 
-def sized(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """keys (a saved table), marked for broadcasting if it has been counted to have at most `most` rows."""
-    return F.broadcast(keys) if keys.count() <= most else keys
+    def values(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(f.name) + VALUE_BYTES
+        if isinstance(f.dataType, T.ArrayType):
+            return F.size(f.name) * VALUE_BYTES
+        return F.lit(VALUE_BYTES)
+
+    each = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        each = each + F.coalesce(values(f), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(each.cast("long"))).first()[0] or 0) <= most else df
 
 
 def row_key(id_col: Column, text: Column) -> Column:
-    """What tells rows apart: id and whole text. Rows that repeat both are one document."""
-    return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
+    """What tells rows apart: 16 bytes for id and whole text. Rows that repeat both are one document."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, or one like it that is none of the columns (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

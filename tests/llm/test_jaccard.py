@@ -3,8 +3,10 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from gristmill.llm import jaccard
+from gristmill.llm.trie import Trie
 
 SCHEMA = "doc_id long, text string, c long, token string, k string"
 
@@ -79,11 +81,46 @@ def test_empty_table(spark):
     assert jaccard.join(docs).count() == 0 and jaccard.one_of_each(docs).count() == 0
 
 
-def test_trie_walk():
+def test_trie_groups():
     rng = np.random.default_rng(3)
-    for _ in range(40):
-        base = rng.choice(5000, 200, replace=False).astype(np.uint64)
-        sets = [np.concatenate([base[: rng.integers(1, 200)], rng.choice(5000, rng.integers(1, 80)).astype(np.uint64) + np.uint64(9000)]) for _ in range(12)]
-        sets = [s[np.sort(np.unique(s, return_index=True)[1])] for s in sets]
-        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(base, s)) >= 75 * len(np.union1d(base, s))]
-        assert sorted(jaccard.overlaps(base, sets)) == want
+    for _ in range(60):
+        base = rng.choice(5000, rng.integers(1, 200), replace=False)
+        sets = []
+        for _ in range(rng.integers(1, 20)):
+            changed = rng.random(len(base)) < rng.random() * 0.3
+            sets.append(np.unique(np.where(changed, rng.integers(9000, 99000, len(base)), base)).astype(np.uint64))
+        labels = np.arange(len(sets))
+        for i, j in combinations(range(len(sets)), 2):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])):
+                labels[labels == labels[i]] = labels[j]
+        got = Trie(sets, 75).groups()
+        assert len({*zip(got.tolist(), labels.tolist(), strict=True)}) == len({*got.tolist()}) == len({*labels.tolist()})
+
+
+@pytest.mark.parametrize("few, block, grouped", [(2, 2, 400), (3, 1000, 3000), (8, 4, 10**6)])
+def test_a_large_near_copy_cluster(spark, few, block, grouped):
+    """Many pairs just below and just above the similarity; small bounds, so that clusters and shingles are dealt out."""
+    rng = random.Random(few)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for d in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((d, " ".join(copy)))
+    docs = spark.createDataFrame([(d, t, 1, "x", "y") for d, t in rows], SCHEMA).repartition(3)
+    got = jaccard.join(docs, few=few, block=block, grouped=grouped)
+    want = sorted((d, n, c) for (d, _), (n, c) in zip(rows, brute(rows), strict=True))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64)]))
+        if not len(b) or 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
+            continue
+        a, b = sorted((a, b), key=len)
+        labels = jaccard.connected(np.array([len(a), len(b)]), [jaccard.sketch(a), jaccard.sketch(b)], 75)
+        assert labels[0] == labels[1]
