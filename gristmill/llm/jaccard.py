@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.llm.components import components
-from gristmill.llm.shared import row_key, saved, sized, unused
+from gristmill.llm.shared import block_pairs, row_key, runs, saved, sized, unused
 from gristmill.llm.trie import Trie
 
 WIDTH = 5
@@ -128,6 +128,19 @@ class Order:
         return np.concatenate([tokens[~last], heavy[np.lexsort((heavy, self.counts[at[last]]))]])
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Tokens (token, n) by falling counts, at most `most`: all those above the smallest count for which they are so many.
+    The driver gets a row for each order of magnitude (in steps of 1/16), then these tokens."""
+    counts = saved(counts.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "token-counts")
+    room, least = most, None
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    return [] if least is None else [(r["token"], r["n"]) for r in counts.filter(F.col("step") >= least).select("token", "n").collect()]
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n // 100) + 1
 
@@ -267,43 +280,15 @@ def connected(n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
     return labels
 
 
-def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each key; the rows of a key follow each other."""
-    held: list[pa.RecordBatch] = []
-    before = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        starts = np.flatnonzero(np.logical_or.reduce([np.append(True, c[1:] != c[:-1]) for c in columns]))
-        for lo, hi in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
-            key = [c[lo] for c in columns]
-            if held and key != before:
-                yield pa.Table.from_batches(held)
-                held = []
-            before = key
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _blocks(weight: Column, most: int, key: str) -> Column:
-    """i, j of each pair of blocks (i <= j) that the row is in; a single pair if weight is at most `most`."""
-    blocks = F.ceil(weight / most).cast("int")
-    own = F.pmod(F.xxhash64(key), blocks).cast("int")
-    pair = lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))
-    return F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), pair))
-
-
 def gathered(met: DataFrame, classes: DataFrame, percent: int = PERCENT, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """a, b: what connects the candidates where more meet. Shingles on which the same classes meet count once."""
     met = met.filter(F.col("many") > few)
     once = met.groupBy("s1", "s2").agg(F.min("token").alias("token")).select("token")
     rows = met.join(once, "token", "left_semi").select("token", "h", "n", "many").join(classes.select("h", "n", "bits"), ["h", "n"])
-    rows = rows.select("token", _blocks(F.col("many"), block, "h").alias("u"), "h", "n", "bits").select("token", "u.i", "u.j", "h", "n", "bits")
+    rows = rows.select("token", block_pairs(F.col("many"), block, "h").alias("u"), "h", "n", "bits").select("token", "u.i", "u.j", "h", "n", "bits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["token", "i", "j"]):
+        for t in runs(batches, ["token", "i", "j"]):
             h = t.column("h").to_numpy()
             labels = connected(t.column("n").to_numpy().astype(np.int64), t.column("bits").to_pylist(), percent)
             tied = labels != np.arange(len(h))
@@ -318,7 +303,7 @@ def linked(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, perce
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for t in _runs(batches, ["root", "i", "j"]):
+        for t in runs(batches, ["root", "i", "j"]):
             found = {}
             for chunk in t.column("text").chunks:
                 for text in chunk:
@@ -340,8 +325,7 @@ class Join:
     ) -> None:
         told = saved(describe(docs, id_col, text_col, width), "sets-told")
         self.rows = told.filter("token is null").drop("token", "bits")
-        last = told.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(heavy)
-        order = Order([(r["token"], r["n"]) for r in last.collect()])
+        order = Order(most_frequent(told.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")), heavy))
         # A row of each class, by which its text is found again.
         classes = told.filter("token is null and n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("h").alias("h"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
         classes = saved(classes, "set-classes")
@@ -350,7 +334,7 @@ class Join:
         roots = saved(components(candidates), "set-candidates")
         placed = roots.join(classes.select(F.col("h").alias("node"), "c", "k", "n"), "node")
         weights = placed.groupBy("root").agg(F.sum("n").alias("weight"))
-        wanted = placed.join(weights, "root").select("k", "root", _blocks(F.col("weight"), grouped, "c").alias("u")).select("k", "root", "u.i", "u.j")
+        wanted = placed.join(weights, "root").select("k", "root", block_pairs(F.col("weight"), grouped, "c").alias("u")).select("k", "root", "u.i", "u.j")
         links = linked(docs, id_col, text_col, saved(wanted, "sets-wanted"), percent, width)
         self.roots = saved(components(links), "set-roots")
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,3 +98,31 @@ def unused(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key; the rows of a key follow each other."""
+    held: list[pa.RecordBatch] = []
+    before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        starts = np.flatnonzero(np.logical_or.reduce([np.append(True, c[1:] != c[:-1]) for c in columns]))
+        for lo, hi in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
+            key = [c[lo] for c in columns]
+            if held and key != before:
+                yield pa.Table.from_batches(held)
+                held = []
+            before = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(weight: Column, most: int, key: str) -> Column:
+    """i, j of each pair of blocks (i <= j) that the row is in; a single pair if weight is at most `most`."""
+    blocks = F.ceil(weight / most).cast("int")
+    own = F.pmod(F.xxhash64(key), blocks).cast("int")
+    pair = lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))
+    return F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), pair))
