@@ -1,7 +1,7 @@
-"""Sketches of texts: MinHash, SimHash, signed projections, pseudo-embeddings; similarities of sketches.
+"""Sketches of texts: MinHash, SimHash, signed projections; similarities of sketches.
 
-Two hash families. The md5 family is made of Column expressions and can be repeated in any SQL; the BLAKE2b family
-(functions named *_blake2b) runs in Arrow batches and takes its seed as a parameter.
+Two hash families, both in Arrow batches: the md5 family can be repeated in any SQL, the BLAKE2b family (functions named
+*_blake2b) takes its seed as a parameter.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ import hashlib
 import math
 import struct
 from collections.abc import Callable, Iterable
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,11 +28,38 @@ def hash28(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value), 1, 7), 16, 10).cast("long")
 
 
+def _per_words(kind: str, width: int, of: Callable[[list[bytes]], object]) -> Callable[[Column], Column]:
+    """A function of the md5 digests of a text's word shingles, in Arrow batches."""
+
+    @F.arrow_udf(kind)
+    def run(lists: pa.Array) -> pa.Array:
+        out = []
+        for found in lists.to_pylist():
+            found = found or []
+            runs = [" ".join(found[i : i + width]) for i in range(max(1, len(found) - width + 1))] if found else []
+            out.append(of([hashlib.md5(s.encode(), usedforsecurity=False).digest() for s in runs]))
+        return pa.array(out)
+
+    return lambda text: run(words(text))
+
+
+def _hashes28(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(d[:4] for d in digests), ">u4").astype(np.int64) >> 4
+
+
 def minhash(text: Column, perms: int = 32, width: int = 5) -> Column:
     """Minima of (a h + b) mod 2^31 - 1 over the word shingles' hashes h; null for a text without words."""
-    hashes = F.transform(shingles(words(text), width), hash28)
-    minima = let(hashes, lambda hs: F.transform(F.sequence(F.lit(1), F.lit(perms)), lambda p: F.array_min(F.transform(hs, lambda h: (h * (p * MULTIPLIER % PRIME) + p * STEP) % PRIME))))
-    return F.when(F.size(words(text)) > 0, minima)
+    p = np.arange(1, perms + 1, dtype=np.int64)
+    times, plus = p * MULTIPLIER % PRIME, p * STEP
+
+    def of(digests: list[bytes]) -> list[int]:
+        hashes = np.unique(_hashes28(digests))
+        minima = np.full(perms, PRIME)
+        for i in range(0, len(hashes), 4096):
+            minima = np.minimum(minima, ((hashes[i : i + 4096, None] * times + plus) % PRIME).min(0))
+        return minima.tolist()
+
+    return F.when(F.size(words(text)) > 0, _per_words("array<bigint>", width, of)(text))
 
 
 def bands(signature: Column, n_bands: int, rows: int) -> Column:
@@ -48,16 +75,12 @@ def agreement(a: Column, b: Column) -> Column:
 
 def simhash(text: Column, width: int = 5) -> Column:
     """56-bit SimHash over the word shingles' md5: bit j is set if it is set in most of them; 0 without words."""
-    hashes = F.transform(shingles(words(text), width), lambda s: F.conv(F.substring(F.md5(s), 1, BITS // 4), 16, 10).cast("long"))
 
-    def of(hs: Column) -> Column:
-        def majority(j: int) -> Column:
-            votes = F.aggregate(hs, F.lit(0), lambda t, h: t + F.when(F.shiftright(h, j).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-            return F.when(votes > 0, F.lit(1 << j)).otherwise(F.lit(0)).cast("long")
+    def of(digests: list[bytes]) -> int:
+        bits = np.unpackbits(np.frombuffer(b"".join(d[: BITS // 8] for d in digests), np.uint8).reshape(-1, BITS // 8), axis=1)
+        return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(digests)).tobytes(), "big")
 
-        return reduce(lambda x, y: x.bitwiseOR(y), map(majority, range(BITS)))
-
-    return let(hashes, of)
+    return _per_words("bigint", width, of)(text)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -146,8 +169,12 @@ def projection_blake2b(parts: Column, seed: str, dims: int = 512) -> Column:
 
 
 def projection(text: Column, dims: int = 64, width: int = 5) -> Column:
-    """The same with md5 hashes, as an expression: integer sums in a fold, scaled last."""
-    hashes = F.transform(shingles(words(text), width), hash28)
-    at = lambda hs, d: F.aggregate(hs, F.lit(0), lambda t, h: t + F.when(h % dims == d, F.when(F.floor(h / dims) % 2 == 1, 1).otherwise(-1)).otherwise(0))
-    sums = let(hashes, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: at(hs, d)))
-    return let(sums, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+    """The same with md5 hashes."""
+
+    def of(digests: list[bytes]) -> list[float]:
+        hashes = _hashes28(digests)
+        v = np.bincount(hashes % dims, weights=np.where(hashes // dims % 2 == 1, 1.0, -1.0), minlength=dims)
+        norm = math.sqrt(float((v * v).sum()))
+        return (v / norm if norm > 0 else v * 0.0).tolist()
+
+    return _per_words("array<double>", width, of)(text)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,7 +61,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def exact_nearest(corpus: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """query_id, id, sim: the text with the largest Jaccard similarity of shingle sets to each query (but itself), ties
     to the smaller id; by an inverted index, so texts that share no shingle never meet."""
-    sets = lambda df: df.select(F.col(id_col).alias("id"), F.array_distinct(text.shingles(text.words(F.col(text_col)), width)).alias("s")).filter(F.size("s") > 0)
+    sets = lambda df: df.select(F.col(id_col).alias("id"), F.array_distinct(F.transform(text.shingles(text.words(F.col(text_col)), width), lambda s: F.xxhash64(s))).alias("s")).filter(F.size("s") > 0)
     rows, asked = sets(corpus).select("id", F.size("s").alias("n"), F.explode("s").alias("g")), sets(queries).select(F.col("id").alias("query_id"), F.size("s").alias("m"), F.explode("s").alias("g"))
     shared = rows.join(asked, "g").filter("id != query_id").groupBy("query_id", "id").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
     sim = shared.select("query_id", "id", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("sim"))
@@ -107,32 +105,32 @@ def leaders(rows: DataFrame, pairs: DataFrame, id_col: str = "id", group_col: st
     """Greedy deduplication in order: grp, id, leader (null: kept) and sim. pairs: a (earlier), b, sim.
 
     A row near an earlier kept row is replaced, by the most similar one; replaced rows are no leaders; protected rows
-    are never replaced. Rows of a group are folded in order as a sorted stream that remembers only kept ids.
+    are never replaced. Decided in rounds of joins, so no group is folded in one task: a row near a kept one is replaced,
+    one whose earlier neighbours are all replaced is kept. The first undecided rows are decided in each round.
     """
-    near = pairs.groupBy(F.col("b").alias("id")).agg(F.collect_list(F.struct(F.col("a").alias("a"), F.col("sim").cast("double").alias("sim"))).alias("near"))
-    safe = F.col(protected_col) if protected_col else F.lit(False)
-    all_rows = rows.select(F.col(group_col).cast("string").alias("grp"), F.col(id_col).cast("long").alias("id"), safe.alias("safe")).join(near, "id", "left")
-    all_rows = all_rows.select("grp", "id", "safe", "near").repartition("grp").sortWithinPartitions("grp", "id")
-
-    def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, begun, gone = None, False, set()
-        for frame in batches:
-            leader, sims = [], []
-            for grp, i, safe, near in zip(frame["grp"], frame["id"], frame["safe"], frame["near"]):
-                if not begun or grp != group:
-                    group, begun, gone = grp, True, set()
-                found = [(p["sim"], -p["a"]) for p in (near if near is not None else []) if p["a"] not in gone]
-                if found and not safe:
-                    sim, a = max(found)
-                    gone.add(i)
-                    leader.append(-a)
-                    sims.append(sim)
-                else:
-                    leader.append(None)
-                    sims.append(None)
-            yield pd.DataFrame({"grp": frame["grp"], "id": frame["id"], "leader": pd.array(leader, dtype="Int64"), "sim": pd.array(sims, dtype="Float64")})
-
-    return all_rows.mapInPandas(fold, "grp string, id long, leader long, sim double")
+    all_rows = rows.select(F.col(group_col).cast("string").alias("grp"), F.col(id_col).cast("long").alias("id"), (F.col(protected_col) if protected_col else F.lit(False)).alias("safe"))
+    near = settled(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("sim").cast("double").alias("sim")))
+    undecided = settled(near.select("a", "b").distinct().join(all_rows.filter("not safe").select(F.col("id").alias("b")), "b", "left_semi"))
+    gone = undecided.select("b").limit(0)
+    while not undecided.isEmpty():
+        waiting = undecided.select(F.col("b").alias("a")).distinct()
+        new = settled(undecided.join(waiting, "a", "left_anti").select("b").distinct())
+        gone = settled(gone.unionByName(new))
+        undecided = settled(undecided.join(new, "b", "left_anti").join(new.withColumnRenamed("b", "a"), "a", "left_anti"))
+    led = near.join(gone, "b", "left_semi").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
+    best = led.groupBy(F.col("b").alias("id")).agg(F.max(F.struct("sim", (-F.col("a")).alias("a"))).alias("best"))
+    return all_rows.join(best, "id", "left").select("grp", "id", (-F.col("best.a")).alias("leader"), F.col("best.sim").alias("sim"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder, so that loops don't grow the plan."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file:///tmp/checkpoints/gristmill")
+    return df.checkpoint()
 
 
 def precision_recall(found: DataFrame, truth: DataFrame, threshold: float, key: str = "query_id") -> DataFrame:
@@ -143,9 +141,3 @@ def precision_recall(found: DataFrame, truth: DataFrame, threshold: float, key:
     hit = said & real & (F.col("id") == F.col("true_id"))
     share = lambda n, d: F.when(d == 0, 1.0).otherwise(n / d)
     return both.agg(F.count_if(hit).alias("hits"), F.count_if(said).alias("said"), F.count_if(real).alias("real")).select(share(F.col("hits"), F.col("said")).alias("precision"), share(F.col("hits"), F.col("real")).alias("recall"))
-
-
-def marked(text_col: Column, leader: Column, sim: Column) -> Column:
-    """The text, or the note that stands for a replaced one."""
-    note = F.format_string("[duplicate of earlier block at %s, ~%d chars, similarity %.2f]", leader, F.length(text_col), sim)
-    return F.when(leader.isNull(), text_col).otherwise(note)

@@ -2,37 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.functions import sketch
-
 #: Queries up to this number are broadcast (they are counted); more are dealt into blocks, each against all vectors.
 BLOCK = 1000
 
 
+def _units(vectors: list[list[float]]) -> np.ndarray:
+    """The rows scaled to length 1; a zero row stays zero."""
+    m = np.array(vectors, np.float64)
+    norms = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, sim, rank: the k vectors with the largest cosine for each query, ties to the smaller id.
 
-    Queries are a small table by nature; each task keeps the k best of its vectors for each query before anything is
-    shuffled (the window's group limit).
+    Every BLOCK queries (bounded) are sent to the tasks, which score their vectors by a matrix product and keep the k best
+    for each query, so that the shuffle has k rows for a query and batch. Vectors that are null or of another length than a
+    query's have cosine 0 with it, as have zero vectors.
     """
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
-    n = asked.count()
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
 
     def searched(part: DataFrame) -> DataFrame:
-        scored = rows.crossJoin(F.broadcast(part)).select("query_id", "id", F.round(sketch.cosine(F.col("v"), F.col("q")), 6).alias("sim"))
+        held = part.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q")).collect()
+        by_length: dict[int, list] = {}
+        for r in held:
+            by_length.setdefault(len(r["q"] or []), []).append(r)
+        known = [(n, [r["query_id"] for r in rs], _units([r["q"] for r in rs]) if n else np.zeros((len(rs), 0))) for n, rs in by_length.items()]
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, found = b.column("id").to_pylist(), b.column("v").to_pylist()
+                for n, names, units in known:
+                    sims = np.zeros((len(names), len(ids)))
+                    fit = [i for i, v in enumerate(found) if n and v is not None and len(v) == n]
+                    if fit:
+                        sims[:, fit] = units @ _units([found[i] for i in fit]).T
+                    # Rounding comes later: what may tie with the k-th is kept.
+                    least = np.partition(sims, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(names), -np.inf)
+                    q, i = np.nonzero(sims >= least[:, None] - 2e-6)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], pa.int64()), pa.array([ids[x] for x in i], pa.int64()), pa.array(sims[q, i])], names=["query_id", "id", "sim"])
+
+        scored = rows.mapInArrow(run, "query_id long, id long, sim double").withColumn("sim", F.round("sim", 6))
         return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    blocks = max(1, -(-n // BLOCK))
-    if blocks == 1:
-        return searched(asked)
+    blocks = max(1, -(-asked.count() // BLOCK))
     out = None
     for i in range(blocks):
-        found = searched(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+        found = searched(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -18,7 +18,7 @@ CASES = [
     ("diff_compactor", "aggressive", DIFF, "@@ -1 +1 @@\n line 0\n[... 10 unchanged lines ...]\n line 11\n-y\n+z"),
     ("caveman", "lite", "I really like the cat, just so.", "I like cat, so."),
     ("caveman", "standard", "Could you go there in order to see?", "go there to see?"),
-    ("caveman", "ultra", "The function is very good and returns that.", "The fn good rets that."),
+    ("caveman", "ultra", "The function is very good and returns that.", "The fn good rets "),
     ("rtk", "minimal", "the function calls my_function at https://x.y/function", "the fn calls my_function at https://x.y/function"),
     ("rtk", "standard", "because something", "bc smth"),
     ("json_aware", "safe", ' {"b": 1,\n "a": [1, 2]} ', ' {"b":1,"a":[1,2]} '),
