@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TURNS = 32
-PROBE = "\ue000\ue001\ue000"
 
 Turn = tuple[str, str]  #: role, text
 
@@ -102,13 +101,24 @@ def parse_brackets(text: str) -> Iterator[tuple[str, str, bool]]:
 BRACKETS = Template(render_brackets, unescape, parse_brackets, True)
 
 
-def locate(template: Template, turns: list[Turn], first: int, before: str, after: str) -> Span:
-    """The span of the last of turns in after, the rendering that follows before, and that of its text."""
+def unsaid(turns: list[Turn]) -> str:
+    """A text that no turn holds."""
+    n = 1
+    while True:
+        mark = "\ue000" + "\ue001" * n + "\ue000"
+        if not any(mark in x for turn in turns for x in turn):
+            return mark
+        n += 1
+
+
+def locate(template: Template, turns: list[Turn], first: int, before: str, after: str, mark: str) -> Span:
+    """The span of the last of turns in after, the rendering that follows before, and that of its text. mark: a text that
+    none of the turns holds."""
     start = len(before) if after.startswith(before) else 0
-    probe = template.render([*turns[:-1], (turns[-1][0], PROBE)], first)
-    at = probe.find(PROBE)
-    tail = len(probe) - at - len(PROBE)
-    if at < 0 or probe.find(PROBE, at + 1) >= 0 or at + tail > len(after) or after[:at] != probe[:at] or tail and after[-tail:] != probe[-tail:]:
+    probe = template.render([*turns[:-1], (turns[-1][0], mark)], first)
+    at = probe.find(mark)
+    tail = len(probe) - at - len(mark)
+    if at < 0 or probe.find(mark, at + 1) >= 0 or at + tail > len(after) or after[:at] != probe[:at] or tail and after[-tail:] != probe[-tail:]:
         return Span(start, len(after), -1, -1)
     return Span(start, len(after), at, len(after) - tail)
 
@@ -116,14 +126,14 @@ def locate(template: Template, turns: list[Turn], first: int, before: str, after
 def render_turns(template: Template, turns: list[Turn], first: int = 0) -> list[Rendered]:
     """Renders the turns prefix by prefix. More than one output: the template rewrote history in between."""
     done: list[Rendered] = []
-    before, spans, begun = template.render([], first), [], first
+    before, spans, begun, mark = template.render([], first), [], first, unsaid(turns)
     for k in range(1, len(turns) + 1):
         after = template.render(turns[:k], first)
         if not after.startswith(before):
             if spans:
                 done.append(Rendered(before, begun, spans, True))
             spans, begun = [], first + k - 1
-        spans.append(locate(template, turns[:k], first, before, after))
+        spans.append(locate(template, turns[:k], first, before, after, mark))
         before = after
     return [*done, Rendered(before, begun, spans, False)]
 

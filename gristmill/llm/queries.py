@@ -80,7 +80,10 @@ FROM o
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
-    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # Digests of responses are taken from the records as they are rebuilt.
+    body = F.substring(F.col("record"), F.octet_length("header") + 1, F.col("payload_bytes").cast("int"))
+    digest = F.when(F.col("record_type") == "response", F.sha2(body, 256)).otherwise(F.col("payload_digest"))
+    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 OP7_SQL = """

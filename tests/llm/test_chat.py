@@ -76,3 +76,10 @@ def test_history_rewritten_after_many_turns(spark):
     got = sorted(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.Template(render, lambda t: t)).collect(), key=lambda r: r.part)
     assert [(r.first_turn, len(r.spans), r.rewritten) for r in got] == [(0, 40, True)] + [(i, 1, i < 69) for i in range(40, 70)]
     assert got[-1].formatted == render([r[2:] for r in rows], 0)
+
+
+def test_turns_that_hold_private_use_characters():
+    said = ["\ue000\ue001\ue000", "\ue000\ue001\ue001\ue000", "a\ue000", "\ue001\ue000"]
+    turns = [("user" if i % 2 == 0 else "assistant", x) for i, x in enumerate(said * 2)]
+    (out,) = chat.render_turns(chat.BRACKETS, turns)
+    assert [chat.unescape(out.text[s.text_start : s.text_end]) for s in out.spans] == said * 2
