@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -178,3 +179,25 @@ def projection(text: Column, dims: int = 64, width: int = 5) -> Column:
         return (v / norm if norm > 0 else v * 0.0).tolist()
 
     return _per_words("array<double>", width, of)(text)
+
+
+def pseudo_embedding(text: Column, dim: int = 256, width: int = 4) -> Column:
+    """Unit vector of hashed character runs: each adds 1 or -1 at the place that its BLAKE2b names. A text that is shorter
+    than a run is filled up; null stays null; runs that cancel out give the zero vector."""
+    if dim < 16 or width < 1:
+        raise ValueError("dim is at least 16, width at least 1")
+
+    def one(said: str) -> list[float]:
+        said = said.ljust(width, "\0")
+        out = np.zeros(dim)
+        for run, count in Counter(said[i : i + width] for i in range(len(said) - width + 1)).items():
+            digest = hashlib.blake2b(run.encode("utf-8", "replace"), digest_size=8).digest()
+            out[int.from_bytes(digest[:4], "big") % dim] += count if digest[4] & 1 else -count
+        length = np.sqrt(out @ out)
+        return (out / length if length else out).tolist()
+
+    @F.arrow_udf("array<double>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    return of(text)

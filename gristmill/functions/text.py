@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,3 +125,27 @@ def glob_to_regex(glob: str) -> str:
     import fnmatch
 
     return "^" + fnmatch.translate(glob).removesuffix("\\Z").removesuffix("\\z") + "$"
+
+
+def serialised_chars(payload: Column) -> Column:
+    """Characters of the payload as compact JSON, non-ASCII kept as it is; of what is no JSON, its own. Null for null."""
+
+    def one(text: str | None) -> int | None:
+        try:
+            return None if text is None else len(json.dumps(json.loads(text), separators=(",", ":"), ensure_ascii=False))
+        except ValueError:
+            return len(text)
+
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in texts.to_pylist()], pa.int64())
+
+    return of(payload)
+
+
+def iso_utc(seconds: Column) -> Column:
+    """ISO 8601 in UTC of seconds since 1970, whatever the session's time zone; microseconds only if there are any."""
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    said = F.split(at.cast("string"), r"\.")
+    fraction = F.coalesce(F.concat(F.lit("."), F.rpad(F.get(said, F.lit(1)), 6, "0")), F.lit(""))
+    return F.concat(F.replace(F.get(said, F.lit(0)), F.lit(" "), F.lit("T")), fraction, F.lit("+00:00"))

@@ -75,6 +75,14 @@ def block_path() -> Column:
     return F.concat(place, F.when(F.col("sub_idx").isNotNull(), F.concat(F.lit(".content["), F.col("sub_idx"), F.lit("]"))).otherwise(""))
 
 
+def prefix_unchanged(original: Column, outgoing: Column, has_marker: Column, prefix: Column | None = None) -> Column:
+    """Whether the bytes before the wall are as they were: the first prefix of them, or as many as both have. Without a
+    marker there is no wall and nothing to keep."""
+    original, outgoing = original.cast("binary"), outgoing.cast("binary")
+    n = F.least(F.octet_length(original), F.octet_length(outgoing)) if prefix is None else prefix
+    return ~has_marker | (F.substring(original, F.lit(1), n) == F.substring(outgoing, F.lit(1), n))
+
+
 def largest_sub(rows: DataFrame) -> DataFrame:
     """Of the texts of each tool result, the longest, the first on ties."""
     w = Window.partitionBy("request_id", "kind", "msg_idx", "block_idx").orderBy(F.desc(F.length("text")), "sub_idx")

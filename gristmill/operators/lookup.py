@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gristmill.functions.text import glob_to_regex
 
@@ -45,7 +44,19 @@ LEAST_CHARS = 2048
 CHARS_PER_TOKEN = 4
 WINDOW = 200_000
 
-POLICY_FIELDS = ("caveman", "rtk", "json_aware", "lsh", "jl_dedupe", "middle_out", "max_text_chars", "lingua")
+#: The fields of a policy; model prefixes and their context windows in tokens.
+POLICY_FIELDS = ("input_compression", "jl_dedupe", "caveman_enabled", "caveman_level", "rtk_enabled", "rtk_level", "output_compression", "max_text_chars")
+WINDOWS = [
+    ("claude-3-5-sonnet", 200_000),
+    ("claude-3-7-sonnet", 200_000),
+    ("claude-3-7", 200_000),
+    ("claude-3-opus", 200_000),
+    ("claude-3-haiku", 200_000),
+    ("claude-opus-4", 200_000),
+    ("claude-sonnet-4", 200_000),
+    ("claude-haiku-4", 200_000),
+    ("claude-3", 200_000),
+]
 
 
 def prices(spark: SparkSession) -> DataFrame:
@@ -89,15 +100,24 @@ def route(model: Column, hint: Column, adapters: list[tuple[str, list[str]]], de
 
 
 def policies(text: str) -> list[tuple[str, str, str]]:
-    """Rules from a JSON list of {model, endpoint, policy}; unknown fields are an error."""
+    """Rules from a JSON list of {model_glob, endpoint, policy}; unknown fields are an error."""
     out = []
     for rule in json.loads(text):
-        if extra := set(rule) - {"model", "endpoint", "policy"} | set(rule.get("policy", {})) - set(POLICY_FIELDS):
+        if extra := set(rule) - {"model_glob", "endpoint", "policy"} | set(rule.get("policy", {})) - set(POLICY_FIELDS):
             raise ValueError(f"unknown fields {sorted(extra)}")
-        out.append((rule.get("model", "*"), rule.get("endpoint", "*"), json.dumps(rule.get("policy", {}), sort_keys=True)))
+        most = rule.get("policy", {}).get("max_text_chars")
+        if most is not None and int(most) < 0:
+            raise ValueError(f"max_text_chars is below 0: {most}")
+        out.append((rule.get("model_glob", "*"), rule.get("endpoint", "*"), json.dumps(rule.get("policy", {}), sort_keys=True)))
     return out
 
 
+def context_window(model: Column, windows: list[tuple[str, int]] = WINDOWS, default: int = WINDOW) -> Column:
+    """Tokens that the model can read: those of the longest prefix of its name, else default (also for null)."""
+    longest = sorted(windows, key=lambda w: -len(w[0]))
+    return F.coalesce(*(F.when(F.startswith(model, F.lit(prefix)), F.lit(size)) for prefix, size in longest), F.lit(default))
+
+
 def tier(chars: Column, window: Column | int = WINDOW) -> Column:
     """Name of the tier of a request whose text has chars characters."""
     window = F.lit(window) if isinstance(window, int) else window
@@ -112,5 +132,3 @@ def tier_level(name: Column, engine: str) -> Column:
 def worth_compacting(chars: Column) -> Column:
     return chars >= LEAST_CHARS
 
-
-USAGE = T.StructType([T.StructField("usage", T.MapType(T.StringType(), T.StringType()))])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import sketch, text
 from gristmill.functions.rewrite import ENGINES, rewritten
-from gristmill.operators import cache, limits, lookup, near_dup, request_log, usage, vectors
+from gristmill.operators import blocks, cache, limits, lookup, near_dup, request_log, usage, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -396,8 +396,6 @@ def cache_keys(spark, sf_dir):
 WITH t AS (SELECT conv_id, turn, role, text, max(turn) FILTER (role = 'system') OVER (PARTITION BY conv_id) AS wall FROM conversations)
 SELECT conv_id, turn, coalesce(turn <= wall, FALSE) AS protected FROM t""")
 def wall_protection(spark, sf_dir):
-    from gristmill.operators import blocks
-
     rows = _t(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("request_id"), F.lit("message").alias("kind"), F.col("turn").alias("msg_idx"), F.lit(0).alias("block_idx"), F.lit(None).cast("int").alias("sub_idx"),
         "role", F.lit("text").alias("block_type"), "text", F.coalesce(F.col("role") == "system", F.lit(False)).alias("has_marker"),
@@ -413,3 +411,151 @@ def audit_sums(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy("source").agg(
         F.count("*").alias("docs"), F.sum(n).alias("chars_in"), F.sum(F.least(n, F.lit(200))).alias("chars_out"), F.round(100.0 * F.sum(F.greatest(F.lit(0), n - 200)) / F.sum(n), 4).alias("saved_pct")
     )
+
+
+def _blocks(spark, sf_dir):
+    """Conversations as blocks: pairs of turns make a message of two texts."""
+    return _t(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("request_id"), F.lit("message").alias("kind"), F.floor(F.col("turn") / 2).cast("int").alias("msg_idx"), F.lit(0).alias("block_idx"),
+        (F.col("turn") % 2).cast("int").alias("sub_idx"), "role", F.lit("tool_result").alias("block_type"), "text", F.lit(False).alias("has_marker"),
+    )
+
+
+@query("""
+SELECT DISTINCT ON (conv_id, floor(turn / 2)) conv_id, 'messages[' || floor(turn / 2)::INT || '].content[0].content[' || turn % 2 || ']' AS path, length(text) AS chars
+FROM conversations ORDER BY conv_id, floor(turn / 2), length(text) DESC NULLS LAST, turn""")
+def largest_blocks(spark, sf_dir):
+    return blocks.largest_sub(_blocks(spark, sf_dir)).select(F.col("request_id").alias("conv_id"), blocks.block_path().alias("path"), F.length("text").cast("long").alias("chars"))
+
+
+_TOKENS = ORACLES["token_estimate"].replace("doc_id", "role, conv_id").replace("documents", "conversations")
+
+
+@query(f"WITH t AS ({_TOKENS}) SELECT conv_id, coalesce(role, CASE WHEN grouping(role) = 0 THEN 'unknown' END) AS role, sum(tokens)::BIGINT AS tokens, grouping(role) = 1 AS total FROM t GROUP BY GROUPING SETS ((conv_id, role), (conv_id))")
+def token_totals(spark, sf_dir):
+    return blocks.token_totals(_blocks(spark, sf_dir)).withColumnRenamed("request_id", "conv_id")
+
+
+@query("""
+SELECT sum(length(text))::BIGINT AS chars_in, sum(least(length(text), 80))::BIGINT AS chars_out, sum(length(text) - least(length(text), 80))::BIGINT AS saved,
+       round(100.0 * sum(length(text) - least(length(text), 80)) / sum(length(text)), 2) AS saved_pct FROM conversations""")
+def preview_summary(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select("text", F.substring("text", 1, 80).alias("cut"))
+    return blocks.preview(rows, "text", "cut").select("chars_in", "chars_out", "saved", "saved_pct")
+
+
+@query("""
+SELECT conv_id, turn, role <> 'user' OR left(text, 20) = left(replace(text, 'e', 'é'), 20) AS kept FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL""")
+def prefix_kept(spark, sf_dir):
+    """An edit that makes texts longer in bytes, compared over as many bytes as 20 characters of the original have."""
+    rows = _t(spark, sf_dir, "conversations").filter("text is not null and role is not null")
+    kept = blocks.prefix_unchanged(F.col("text"), F.replace("text", F.lit("e"), F.lit("é")), F.col("role") == "user", F.octet_length(F.substring("text", 1, 20)))
+    return rows.select("conv_id", "turn", kept.alias("kept"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?|[^\s]'), lambda x: lower(x)) AS t FROM conversations)
+SELECT conv_id, turn, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS digest FROM t""")
+def mixed_tokens(spark, sf_dir):
+    t = text.tokens(F.col("text"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("digest"))
+
+
+_GRAMS = "CASE WHEN length(text) = 0 THEN [] WHEN length(text) <= 8 THEN [text] ELSE list_transform(range(1, length(text) - 6), lambda i: substr(text, i, 8)) END"
+
+
+@query(f"SELECT conv_id, turn, len({_GRAMS})::BIGINT AS n, md5(array_to_string({_GRAMS}, '|')) AS digest FROM conversations WHERE text IS NOT NULL")
+def char_grams(spark, sf_dir):
+    grams = text.char_grams(F.col("text"), 8)
+    return _t(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", F.size(grams).cast("long").alias("n"), F.md5(F.array_join(grams, "|")).alias("digest"))
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, text, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?|[^\s]'), lambda x: lower(x)) AS w FROM conversations WHERE text IS NOT NULL),
+s AS (SELECT conv_id, turn, text, CASE WHEN len(w) = 0 THEN [] ELSE {_SHINGLES} END AS s FROM t)
+SELECT conv_id, turn, len(s) < 16 AS by_chars, md5(array_to_string(CASE WHEN len(s) >= 16 THEN s ELSE list_transform({_GRAMS}, lambda g: chr(1) || g) END, '|')) AS digest FROM s""")
+def hybrid_shingles(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").filter("text is not null").withColumn("s", text.hybrid_shingles(F.col("text")))
+    return rows.select("conv_id", "turn", (F.size(text.shingles(text.tokens(F.col("text")), 5)) < 16).alias("by_chars"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+# ---- requests and responses -----------------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT event_id, CASE WHEN m LIKE 'claude-3-5%' THEN 100 WHEN m LIKE 'claude-%' THEN 50 WHEN m LIKE 'gpt-4o%' THEN 70 ELSE 200000 END::INT AS tokens
+FROM (SELECT event_id, ({_MODELS!r})[event_id % 6 + 1] AS m FROM events)""")
+def context_windows(spark, sf_dir):
+    windows = [("claude-", 50), ("gpt-4o", 70), ("claude-3-5", 100)]
+    return _requests(spark, sf_dir).select("event_id", lookup.context_window(F.col("model"), windows).alias("tokens"))
+
+
+@query("""
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') END || '+00:00' AS at FROM events""")
+def iso_times(spark, sf_dir):
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(18,0)") / F.lit(1_000_000)
+    return _t(spark, sf_dir, "events").select("event_id", text.iso_utc(seconds).alias("at"))
+
+
+@query("SELECT event_id, length(replace(props, ' ', ''))::BIGINT AS chars FROM events")
+def serialised_sizes(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", text.serialised_chars(F.col("props")).alias("chars"))
+
+
+@query("SELECT event_id, (event_type = 'error') OR event_id % 200 >= 100 AS failed FROM events")
+def failed_requests(spark, sf_dir):
+    error = F.when(F.col("event_type") == "error", "broken").when(F.col("user_id") % 2 == 0, "")
+    return _t(spark, sf_dir, "events").select("event_id", request_log.is_error(400 + F.col("event_id") % 200, error).alias("failed"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AND user_id % 2 = 0 AND event_type <> 'error' AS cacheable FROM events")
+def cacheable_requests(spark, sf_dir):
+    method, path = F.when(F.col("event_id") % 3 == 0, "post").otherwise("GET"), F.when(F.col("user_id") % 2 == 0, "/v1/messages").otherwise("/v1/models")
+    stream = F.when(F.col("event_type") == "error", True)
+    return _t(spark, sf_dir, "events").select("event_id", cache.cacheable(method, path, stream, F.col("props")).alias("cacheable"))
+
+
+@query("SELECT event_id, '<redacted>' AS hidden, event_type AS shown, ['X-Kind']::VARCHAR[] = ['X-Kind'] AS stored FROM events")
+def header_rules(spark, sf_dir):
+    headers = F.create_map(F.lit("Set-Cookie"), F.col("user_id").cast("string"), F.lit("X-Kind"), F.col("event_type"))
+    shown, kept = cache.redacted(headers), cache.stored_headers(headers)
+    return _t(spark, sf_dir, "events").select("event_id", shown["Set-Cookie"].alias("hidden"), shown["X-Kind"].alias("shown"), (F.map_keys(kept) == F.array(F.lit("X-Kind"))).alias("stored"))
+
+
+@query("""
+WITH n AS (SELECT max(ts) AS now FROM events)
+SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS requests FROM events, n
+WHERE epoch(date_trunc('minute', ts)) > floor(epoch(now)) - 60 * 10080 GROUP BY 1""")
+def kept_minutes(spark, sf_dir):
+    out = request_log.minute_buckets(_t(spark, sf_dir, "events"), ms="value", keep_minutes=10080)
+    return out.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "requests")
+
+
+@query("""
+SELECT user_id, greatest(0, max(event_id % 100 - 5))::BIGINT AS input_tokens, max(user_id)::BIGINT AS output_tokens, max(event_id % 7)::BIGINT AS cache_write_tokens, max(event_id % 11)::BIGINT AS cache_read_tokens
+FROM events GROUP BY user_id""")
+def merged_usage(spark, sf_dir):
+    return usage.merged(_requests(spark, sf_dir).withColumn("user_id", F.col("output_tokens")), "user_id")
+
+
+@query("""
+SELECT event_id, array_to_string(list_transform(list_sort(list_filter([{'s': -greatest(0, user_id % 9 - 3), 'm': 'b'}, {'s': -greatest(0, event_id % 7 - 2), 'm': 'a'}], lambda x: x.s < 0)), lambda x: x.m), ',') AS engines FROM events""")
+def engine_lists(spark, sf_dir):
+    event = lambda mode, a, b: F.struct(F.lit(mode).alias("mode"), a.cast("int").alias("original_chars"), F.lit(b).alias("compressed_chars"))
+    events = F.array(event("b", F.col("user_id") % 9, 3), event("a", F.col("event_id") % 7, 2))
+    return _t(spark, sf_dir, "events").select("event_id", request_log.engine_list(events).alias("engines"))
+
+
+@query("SELECT cache_key FROM (SELECT sha256(event_id::VARCHAR) AS cache_key, CASE WHEN user_id % 2 = 0 THEN value END AS last_hit_at, event_id FROM events) ORDER BY last_hit_at DESC NULLS LAST, event_id DESC LIMIT 200")
+def kept_entries(spark, sf_dir):
+    entries = _t(spark, sf_dir, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("cache_key"), F.when(F.col("user_id") % 2 == 0, F.col("value")).alias("last_hit_at"), F.col("event_id").alias("inserted_at"))
+    return cache.evicted(entries, 200).select("cache_key")
+
+
+@query("""
+WITH b AS (SELECT event_id % 10 >= 4 AS said, event_id % 5 >= 2 AS real, event_id % 3 = 0 AS same FROM events)
+SELECT count(*) FILTER (said AND real AND same) / count(*) FILTER (said)::DOUBLE AS "precision", count(*) FILTER (said AND real AND same) / count(*) FILTER (real)::DOUBLE AS recall FROM b""")
+def precision_recall(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"))
+    found = rows.select("query_id", (F.col("query_id") % 3).alias("id"), (F.col("query_id") % 10 / 10).alias("sim"))
+    return near_dup.precision_recall(found, rows.select("query_id", F.lit(0).alias("id"), F.when(F.col("query_id") % 5 >= 2, 0.9).otherwise(0.1).alias("sim")), 0.4)
