@@ -181,7 +181,7 @@ def projection(text: Column, dims: int = 64, width: int = 5) -> Column:
     return _per_words("array<double>", width, of)(text)
 
 
-def pseudo_embedding(text: Column, dim: int = 256, width: int = 4) -> Column:
+def pseudo_embedding(text: Column, dim: int = 3072, width: int = 4) -> Column:
     """Unit vector of hashed character runs: each adds 1 or -1 at the place that its BLAKE2b names. A text that is shorter
     than a run is filled up; null stays null; runs that cancel out give the zero vector."""
     if dim < 16 or width < 1:

@@ -84,7 +84,7 @@ def test_prices_policies_usage(spark):
     assert got == {"anthropic": (15.000015, True), "openai": (7.5e-06, True), "local": (0.0, True), "none": (0.0, False)}
     body = spark.createDataFrame([('{"usage": {"input_tokens": 3, "output_tokens": -1}}',), ("no json",), (None,)], "b string").select(usage.usage(F.col("b")).alias("u")).collect()
     assert [tuple(r.u) for r in body] == [(3, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
-    assert lookup.policies('[{"model": "a*", "policy": {"rtk": "minimal"}}]') == [("a*", "*", '{"rtk": "minimal"}')]
+    assert lookup.policies('[{"model_glob": "a*", "policy": {"rtk_level": "minimal"}}]') == [("a*", "*", '{"rtk_level": "minimal"}')]
 
 
 def test_blake_sketches(spark):
