@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, jaccard, licences, lines, merkle, mixing, pieces, toxicity, vptree, warc
+from gristmill.llm import chat, jaccard, licences, lines, merkle, mixing, pieces, repeats, toxicity, vptree, warc
 from gristmill.llm.shared import small_batches, table
 
 
@@ -108,5 +108,32 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), pieces.load())
 
 
-QUERIES = {"op10_pieces": op10_pieces, "op2_lines": op2_lines, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
-ORACLES = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = repeats.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("stretches").cast("long").alias("n_stretches"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM d WHERE len(words) >= 20),
+h AS (SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS seq FROM w),
+r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY seq ORDER BY doc_id, start) > 1 AS again FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM r WHERE again),
+p AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM d),
+k AS (
+  SELECT p.doc_id, p.place, p.word, c.place IS NOT NULL AS gone,
+         c.place IS NOT NULL AND lag(c.place) OVER (PARTITION BY p.doc_id ORDER BY p.place) IS NULL AS begins
+  FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.place = c.place),
+g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_stretches,
+         string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS kept
+  FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+       coalesce(n_stretches, 0)::BIGINT AS n_stretches
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+QUERIES = {"op11_repeats": op11_repeats, "op10_pieces": op10_pieces, "op2_lines": op2_lines, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
+ORACLES = {"op11_repeats": OP11_SQL, "op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}
