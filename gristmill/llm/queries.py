@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, jaccard, licences, lines, merkle, mixing, pieces, repeats, toxicity, vptree, warc
+from gristmill.llm import chat, interplay, jaccard, licences, lines, merkle, mixing, pieces, repeats, toxicity, vptree, warc
 from gristmill.llm.shared import small_batches, table
 
 
@@ -135,5 +135,42 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
 
-QUERIES = {"op11_repeats": op11_repeats, "op10_pieces": op10_pieces, "op2_lines": op2_lines, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
-ORACLES = {"op11_repeats": OP11_SQL, "op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}
+def op13_interplay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interplay.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents),
+m AS (
+  SELECT part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+         + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+         + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INT AS mask,
+         coalesce((SELECT max((quality = 1)::INT) FROM labels WHERE labels.doc_id = d.doc_id), 0) AS good,
+         coalesce((SELECT max((toxic = 1)::INT) FROM labels WHERE labels.doc_id = d.doc_id), 0) AS toxic
+  FROM d),
+c AS (SELECT part, mask, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT unnest(range(5)) AS f),
+o AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS fs, substr('ABCDE', a.f::INT + 1, 1) || substr('ABCDE', b.f::INT + 1, 1) || substr('ABCDE', c.f::INT + 1, 1)
+         || substr('ABCDE', d.f::INT + 1, 1) || substr('ABCDE', e.f::INT + 1, 1) AS filter_order
+  FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (
+  SELECT filter_order, step, fs[step]::INT AS f, list_sum(list_transform(fs[1:step - 1], lambda x: (1 << x::INT)))::INT AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+t AS (
+  SELECT part, filter_order, step, f,
+         sum(docs) FILTER (mask & (coalesce(before, 0) | (1 << f)) = 0) AS kept, sum(docs) FILTER (mask & coalesce(before, 0) = 0 AND mask >> f & 1 = 1) AS removed,
+         sum(docs) FILTER (mask & coalesce(before, 0) <> 0 AND mask >> f & 1 = 1) AS redundant, sum(docs) FILTER (mask = 1 << f) AS unique_fails,
+         sum(good) FILTER (mask & coalesce(before, 0) = 0 AND mask >> f & 1 = 1) AS good_lost, sum(toxic) FILTER (mask & coalesce(before, 0) = 0 AND mask >> f & 1 = 1) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM t
+"""
+
+
+QUERIES = {"op13_interplay": op13_interplay, "op11_repeats": op11_repeats, "op10_pieces": op10_pieces, "op2_lines": op2_lines, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
+ORACLES = {"op13_interplay": OP13_SQL, "op11_repeats": OP11_SQL, "op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}
