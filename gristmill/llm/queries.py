@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, interplay, jaccard, licences, lines, merkle, mixing, pieces, repeats, toxicity, vptree, warc
+from gristmill.llm import alignment, chat, interplay, jaccard, licences, lines, merkle, mixing, pieces, repeats, toxicity, vptree, warc
 from gristmill.llm.shared import small_batches, table
 
 
@@ -135,6 +135,11 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return alignment.align(table(spark, sf_dir, "documents")).drop("groups")
+
+
 def op13_interplay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interplay.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -172,5 +177,5 @@ FROM t
 """
 
 
-QUERIES = {"op13_interplay": op13_interplay, "op11_repeats": op11_repeats, "op10_pieces": op10_pieces, "op2_lines": op2_lines, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
+QUERIES = {"op12_alignment": op12_alignment, "op13_interplay": op13_interplay, "op11_repeats": op11_repeats, "op10_pieces": op10_pieces, "op2_lines": op2_lines, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_neighbours": op5_neighbours, "op8_merkle": op8_merkle, "op9_licences": op9_licences, "op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
 ORACLES = {"op13_interplay": OP13_SQL, "op11_repeats": OP11_SQL, "op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}
