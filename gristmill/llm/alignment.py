@@ -36,12 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.packed import pack, unpack
+from gristmill.llm.packed import pack, packed_text, text_bytes, unpack
 from gristmill.llm.shared import saved
 
 BYTE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 12 << 20  #: characters of text whose segments are numbered together
+CHUNK = 32 << 20  #: characters of text whose segments are numbered together
 BUCKETS = 4096
 SLICE = 1 << 20  #: characters of a text that are cut at once
 TURN = 1 << 16  #: segments of a document that are composed at once
@@ -176,8 +176,8 @@ class _Numbers(dict):
         return found
 
 
-_CHUNKED = "chunk long, kind int, bucket int, doc_id long, data binary, body string"
-_CHUNKED_SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary()), ("body", pa.string())])
+_CHUNKED = "chunk long, kind int, bucket int, doc_id long, data binary, body binary"
+_CHUNKED_SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary()), ("body", pa.binary())])
 
 
 def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def _numbered(tools: Tokenizers, chunk_size: int):
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 own = order[edges[b] : edges[b + 1]]
                 texts = [segments[i] for i in own.tolist()]
-                yield chunk, ALIGNED, b, None, pack(rank[own], np.array([len(t) for t in texts], np.uint32)), "".join(texts)
+                yield chunk, ALIGNED, b, None, pack(rank[own], np.array([len(t) for t in texts], np.uint32)), packed_text("".join(texts))
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -246,6 +246,7 @@ def _aligned(tools: Tokenizers):
                 asked = []
                 for data, body in zip(part.column("data").to_pylist(), part.column("body").to_pylist(), strict=True):
                     places, lengths = unpack(data, np.uint32, np.uint32)
+                    body = text_bytes(body).decode()
                     ends = np.cumsum(lengths, dtype=np.int64).tolist()
                     asked.append((places, [body[i:j] for i, j in zip([0, *ends], ends, strict=False)]))
                 new = list(dict.fromkeys(s for _, own in asked for s in own if s not in known))
@@ -254,7 +255,7 @@ def _aligned(tools: Tokenizers):
                     found = [known[s] for s in own]
                     counts = np.array([(len(x[1]), *x[2:]) if x else (-1, 0, 0, 0) for x in found], np.int32).reshape(-1, 4).T
                     pairs = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in found if x)])
-                    yield chunk, ALIGNED, None, None, pack(places, *counts, pairs), "\n".join(x[0] if x else "" for x in found)
+                    yield chunk, ALIGNED, None, None, pack(places, *counts, pairs), packed_text("\n".join(x[0] if x else "" for x in found))
 
     return lambda batches: _batches(rows(batches), _CHUNKED_SCHEMA)
 
@@ -262,7 +263,7 @@ def _aligned(tools: Tokenizers):
 class _Chunk:
     """The alignments of a chunk's segments, by their number."""
 
-    def __init__(self, rows: list[tuple[bytes, str | None]]) -> None:
+    def __init__(self, rows: list[tuple[bytes, bytes | None]]) -> None:
         each = [unpack(data, *_PAIRS) for data, _ in rows]
         places, n_pairs, n_a, n_b, n_groups, pairs = (np.concatenate([np.zeros(0, k), *(x[i] for x in each)]) for i, k in enumerate(_PAIRS))
         self.pairs, self.pair = np.unique(pairs, return_inverse=True)
@@ -277,7 +278,7 @@ class _Chunk:
 
     @cached_property
     def texts(self) -> np.ndarray:
-        found = [t for _, body in self.rows for t in (body or "").split("\n")]
+        found = [t for _, body in self.rows for t in text_bytes(body).decode().split("\n")]
         return np.array(found, object)[self.order]
 
     def per_segment(self, of_pair: np.ndarray) -> np.ndarray:
@@ -382,12 +383,12 @@ def align(docs: DataFrame, tools: Tokenizers | None = None, groups: bool = False
     each row of docs (doc_id, text)."""
     tools = tools or Tokenizers()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = saved(rows.mapInArrow(_numbered(tools, chunk_size), _CHUNKED), "align-chunks")
+    chunks = saved(rows.mapInArrow(_numbered(tools, chunk_size), _CHUNKED), "align-chunks", clean=True)
     asked = chunks.filter(F.col("kind") == ALIGNED).select("bucket", "chunk", "data", "body")
-    aligned = saved(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_aligned(tools), _CHUNKED), "align-segments").select("chunk", "kind", "doc_id", "data", "body")
+    aligned = saved(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_aligned(tools), _CHUNKED), "align-segments", clean=True).select("chunk", "kind", "doc_id", "data", "body")
     documents = chunks.filter(F.col("kind") == DOCUMENT).select("chunk", "kind", "doc_id", "data", "body")
-    together = aligned.withColumn("body", F.lit(None).cast("string")).unionByName(documents).select("chunk", "kind", "data")
-    linked = saved(together.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_linked, "chunk long, pair long, docs long"), "align-pairs")
+    together = aligned.select("chunk", "kind", "data").unionByName(documents.select("chunk", "kind", "data"))
+    linked = saved(together.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_linked, "chunk long, pair long, docs long"), "align-pairs", clean=True)
     counts = linked.select("chunk", "pair").join(pair_counts(linked), "pair").withColumn("kind", F.lit(COUNTS))
     every = aligned.unionByName(documents).unionByName(counts, allowMissingColumns=True)
     return every.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_composed(groups), _RESULT)

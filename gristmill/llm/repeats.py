@@ -352,9 +352,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket
         return found.groupBy("doc", "print").agg(F.collect_set("data").alias(name))
 
     bodies = rows.mapInArrow(_packed, "doc_id long, doc long, print long, body binary")
-    first = saved(met(rows.select("doc", "print", "text").mapInArrow(_seeds(length, seed, buckets), _ROW)), "repeats")
+    first = saved(met(rows.select("doc", "print", "text").mapInArrow(_seeds(length, seed, buckets), _ROW)), "repeats", clean=True)
     wanted = of_documents(first.filter(F.col("kind") == REQUEST), "wanted")
-    second = saved(met(bodies.join(wanted, ["doc", "print"]).select("doc", "print", "body", "wanted").mapInArrow(_windows(length, buckets), _ROW)), "repeats-windows")
+    second = saved(met(bodies.join(wanted, ["doc", "print"]).select("doc", "print", "body", "wanted").mapInArrow(_windows(length, buckets), _ROW)), "repeats-windows", clean=True)
     covered = of_documents(first.filter(F.col("kind") == COVERED).unionByName(second.filter(F.col("kind") == COVERED)), "covered")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, stretches array<struct<start: long, words: long>>"
     return bodies.join(covered, ["doc", "print"], "left").select("doc_id", "body", "covered").mapInArrow(_kept(length), out)

@@ -29,10 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_DIR).rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+#: Spark's setting for deleting a job's shuffle files when the job ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors. With
+    clean, the shuffle files behind it go once it is written; for a df that nothing else will run."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, str(clean or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     if (paths := _noted.get()) is not None:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
