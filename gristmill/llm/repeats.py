@@ -161,7 +161,7 @@ def _by_document(kind: int, doc: np.ndarray, text_print: np.ndarray, start: np.n
     order = np.lexsort((start, text_print, doc))
     doc, text_print, start, count = doc[order], text_print[order], start[order], count[order]
     for lo, hi in pairwise([*np.flatnonzero(_changes(doc, text_print)).tolist(), len(doc)]):
-        yield kind, int(start[lo]), int(doc[lo]), int(text_print[lo]), pack(start[lo:hi], count[lo:hi])
+        yield kind, int(text_print[lo]), int(doc[lo]), int(text_print[lo]), pack(start[lo:hi], count[lo:hi])
 
 
 def _by_bucket(kind: int, buckets: int, columns: list[np.ndarray]) -> Iterator[tuple]:
