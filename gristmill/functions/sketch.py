@@ -155,18 +155,19 @@ def simhash_blake2b(parts: Column, seed: str) -> Column:
     return _per_list("bigint", of)(parts)
 
 
-def projection_blake2b(parts: Column, seed: str, dims: int = 512) -> Column:
-    """Signed projection: each shingle adds 1 or -1 (bit 32 of its hash) at its hash modulo dims; then unit length."""
+def signed_projection(found: list[str], seed: str, dims: int = 512) -> list[float]:
+    """Each shingle adds 1 or -1 (bit 32 of its hash) at its hash modulo dims; then unit length."""
+    v = [0] * dims
+    for s in found:
+        h = _blake(f"{seed}\0{s}".encode())
+        v[h % dims] += 1 if h >> 32 & 1 else -1
+    norm = math.sqrt(sum(x * x for x in v)) or 1.0
+    return [x / norm for x in v]
 
-    def of(found: list[str]) -> list[float]:
-        v = [0] * dims
-        for s in found:
-            h = _blake(f"{seed}\0{s}".encode())
-            v[h % dims] += 1 if h >> 32 & 1 else -1
-        norm = math.sqrt(sum(x * x for x in v)) or 1.0
-        return [x / norm for x in v]
 
-    return _per_list("array<double>", of)(parts)
+def projection_blake2b(parts: Column, seed: str, dims: int = 512) -> Column:
+    """Signed projection of shingles."""
+    return _per_list("array<double>", lambda found: signed_projection(found, seed, dims))(parts)
 
 
 def projection(text: Column, dims: int = 64, width: int = 5) -> Column:

@@ -1,7 +1,7 @@
 """Request payloads as rows of text blocks, and what may be changed in them.
 
-A block is (request_id, kind, msg_idx, block_idx, sub_idx, role, block_type, text, has_marker); kind is system, tools or
-message. Blocks at or before the last cache marker of a request (the wall) must stay as they are.
+A block is (request_id, kind, msg_idx, block_idx, sub_idx, role, block_type, text, has_marker, plain); kind is system,
+tools or message. Blocks at or before the last cache marker of a request (the wall) must stay as they are.
 """
 
 from __future__ import annotations
@@ -15,36 +15,87 @@ from gristmill.functions.text import estimate_tokens
 #: The order in which parts of a request are cached.
 KIND_ORDER = {"system": 0, "tools": 1, "message": 2}
 
-_BLOCK = "type string, text string, content string, cache_control string"
+_LIST, _VARIANT = "array<variant>", "variant"
+
+
+def _field(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, f"$.{name}", _VARIANT)
+
+
+def _list(value: Column) -> Column:
+    """The items of a list; null for anything else."""
+    return F.try_variant_get(value, "$", _LIST)
+
+
+def _string(value: Column) -> Column:
+    """A string; null for anything else, numbers and objects too."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def _parts(request: Column) -> Column:
+    """kind, msg_idx, role and content of the parts of a request that hold blocks."""
+    none = F.lit(None)
+    part = lambda kind, msg_idx, role, content: F.struct(F.lit(kind).alias("kind"), msg_idx.cast("int").alias("msg_idx"), role.cast("string").alias("role"), content.alias("content"))
+    messages = F.coalesce(_list(_field(request, "messages")), F.array().cast(_LIST))
+    said = F.transform(messages, lambda m, i: part("message", i, F.when(_is_object(m), _string(_field(m, "role"))), F.when(_is_object(m), _field(m, "content"))))
+    return F.concat(F.array(part("system", none, none, _field(request, "system")), part("tools", none, none, _field(request, "tools"))), said)
 
 
 def blocks(requests: DataFrame, id_col: str = "request_id", payload_col: str = "payload") -> DataFrame:
-    """Text blocks of JSON payloads in request order. A content that is a string is one block of type text; a tool
-    result's content is a string or a list of texts (sub_idx). What has another shape is passed over."""
-    body = F.from_json(F.col(payload_col), "system string, tools string, messages string")
-    rows = requests.select(F.col(id_col).alias("request_id"), body.alias("p"))
-
-    def lists(value: Column) -> Column:
-        """Blocks of a content: a JSON list, or else a bare string as one block."""
-        parsed = F.from_json(value, f"array<struct<{', '.join(f'{p.split()[0]}:{p.split()[1]}' for p in _BLOCK.split(', '))}>>")
-        plain = F.array(F.struct(F.lit("text").alias("type"), value.alias("text"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("cache_control")))
-        return F.when(value.isNull(), F.array().cast(plain_type)).when(F.ltrim(value).startswith("["), parsed).otherwise(plain)
-
-    plain_type = "array<struct<type:string,text:string,content:string,cache_control:string>>"
-    messages = F.from_json(F.col("p.messages"), "array<struct<role:string,content:string>>")
+    """Blocks of JSON payloads, a row for each, or for each text of a tool result that has a list of them (sub_idx).
+
+    A content that is a string is one block of type text, and plain. Types decide, never what a text looks like: a text
+    may begin with a bracket. Blocks without a text (tools, images, unknown shapes) are rows with a null text, for they may
+    hold a marker; items that are no objects are none. Payloads that are null or no JSON objects have no blocks."""
+    requests = requests.select(F.col(id_col).alias("request_id"), F.try_parse_json(F.col(payload_col)).alias("p")).filter(_is_object(F.col("p")))
+    rows = requests.select("request_id", F.explode(_parts(F.col("p"))).alias("c")).select("request_id", "c.*")
+    item = lambda plain, i, v: F.struct(F.lit(plain).alias("plain"), F.lit(i).cast("int").alias("block_idx") if isinstance(i, int) else i.cast("int").alias("block_idx"), v.alias("b"))
+    whole = (F.col("kind") != "tools") & _string(F.col("content")).isNotNull()
+    each = F.when(whole, F.array(item(True, 0, F.col("content")))).otherwise(F.transform(_list(F.col("content")), lambda v, i: item(False, i, v)))
+    rows = rows.select("request_id", "kind", "msg_idx", "role", F.explode(each).alias("i")).select("request_id", "kind", "msg_idx", "role", "i.*").filter(F.col("plain") | _is_object(F.col("b")))
+    kind = F.when(F.col("plain"), "text").otherwise(_string(_field(F.col("b"), "type")))
+    told = F.coalesce(kind == "tool_result", F.lit(False)) & ~F.col("plain")
+    inner = F.when(told, _field(F.col("b"), "content"))
+    text = F.when(F.col("plain"), _string(F.col("b"))).when(told, _string(inner)).when(F.col("kind") != "tools", _string(_field(F.col("b"), "text")))
     none = F.lit(None).cast("int")
-    parts = [
-        rows.select("request_id", F.lit("system").alias("kind"), none.alias("msg_idx"), F.lit(None).cast("string").alias("role"), F.posexplode(lists(F.col("p.system"))).alias("block_idx", "b")),
-        rows.select("request_id", F.lit("tools").alias("kind"), none.alias("msg_idx"), F.lit(None).cast("string").alias("role"), F.posexplode(lists(F.col("p.tools"))).alias("block_idx", "b")).filter("b.cache_control is not null"),
-        rows.select("request_id", F.posexplode(messages).alias("msg_idx", "m")).select("request_id", F.lit("message").alias("kind"), "msg_idx", F.col("m.role").alias("role"), F.posexplode(lists(F.col("m.content"))).alias("block_idx", "b")),
-    ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    inner = F.from_json(F.col("b.content"), "array<struct<type:string,text:string>>")
-    text = F.when(F.col("b.type") == "tool_result", F.col("b.content")).otherwise(F.col("b.text"))
-    listed = (F.col("b.type") == "tool_result") & F.ltrim("b.content").startswith("[")
-    subs = F.when(listed, F.transform(inner, lambda x, i: F.struct(i.alias("i"), x["text"].alias("t")))).otherwise(F.array(F.struct(none.alias("i"), text.alias("t"))))
-    out = out.withColumn("s", F.explode_outer(subs))
-    return out.select("request_id", "kind", "msg_idx", "block_idx", F.col("s.i").alias("sub_idx"), "role", F.col("b.type").alias("block_type"), F.col("s.t").alias("text"), F.col("b.cache_control").isNotNull().alias("has_marker"))
+    one = F.array(F.struct(none.alias("sub_idx"), text.alias("text")))
+    # Items that aren't texts keep their places: only texts make rows, but a list without any makes one row.
+    subs = F.filter(F.transform(_list(inner), lambda v, i: F.struct(i.alias("sub_idx"), F.when(_is_object(v), F.when(_string(_field(v, "type")) == "text", _string(_field(v, "text")))).alias("text"))), lambda x: x["text"].isNotNull())
+    rows = rows.withColumn("s", F.explode(F.when(F.size(subs) > 0, subs).otherwise(one)))
+    marked = ~F.col("plain") & _field(F.col("b"), "cache_control").isNotNull()
+    return rows.select("request_id", "kind", "msg_idx", "block_idx", F.col("s.sub_idx").alias("sub_idx"), "role", kind.alias("block_type"), F.col("s.text").alias("text"), marked.alias("has_marker"), "plain")
+
+
+def nested_texts(requests: DataFrame, id_col: str = "request_id", payload_col: str = "payload", levels: int | None = None) -> DataFrame:
+    """request_id, kind, msg_idx, role, level and text of every string below the contents: strings in lists, the text of
+    a block and its content, and so on down contents within contents, `levels` deep (None: to the end).
+
+    Each level is a projection and an explode of the one above it; the loop ends with the first level that is empty."""
+    requests = requests.select(F.col(id_col).alias("request_id"), F.try_parse_json(F.col(payload_col)).alias("p")).filter(_is_object(F.col("p")))
+    rows = requests.select("request_id", F.explode(_parts(F.col("p"))).alias("c")).select("request_id", "c.*").filter("kind <> 'tools'")
+    keep = ["request_id", "kind", "msg_idx", "role"]
+    out = rows.select(*keep, F.lit(0).alias("level"), _string(F.col("content")).alias("text"))
+    level = 0
+    while levels is None or level < levels:
+        level += 1
+        rows = rows.select(*keep, F.explode(_list(F.col("content"))).alias("b"))
+        if rows.isEmpty():
+            break
+        inner = F.when(_is_object(F.col("b")), _field(F.col("b"), "content"))
+        said = F.array(_string(F.col("b")), F.when(_is_object(F.col("b")), _string(_field(F.col("b"), "text"))), _string(inner))
+        out = out.unionByName(rows.select(*keep, F.lit(level).alias("level"), F.explode(said).alias("text")))
+        rows = rows.select(*keep, inner.alias("content"))
+    return out.filter("text is not null")
+
+
+def nested_tokens(texts: DataFrame) -> DataFrame:
+    """request_id, part (system, or the message's number) and tokens, of nested_texts."""
+    part = F.when(F.col("kind") == "message", F.col("msg_idx").cast("string")).otherwise(F.col("kind"))
+    return texts.groupBy("request_id", part.alias("part")).agg(F.sum(estimate_tokens(F.col("text")).cast("long")).alias("tokens"))
 
 
 def _position() -> Column:
@@ -64,12 +115,21 @@ def volatile(rows: DataFrame) -> DataFrame:
 
 
 def with_marker(rows: DataFrame) -> DataFrame:
-    """rows of requests without a marker get one on the last tool block, or else on the last system block."""
+    """rows of requests without a marker get one on the last tool, or else on the last block of the system."""
     any_marker = F.max("has_marker").over(Window.partitionBy("request_id"))
-    last = F.max(F.when(F.col("kind").isin("system", "tools"), _position())).over(Window.partitionBy("request_id"))
+    last = F.max(F.when(F.col("kind").isin("system", "tools") & ~(F.col("plain") & (F.col("text") == "")), _position())).over(Window.partitionBy("request_id"))
     return rows.withColumn("has_marker", F.col("has_marker") | (~any_marker & _position().eqNullSafe(last)))
 
 
+def json_path() -> Column:
+    """Where a row's text is in the payload."""
+    place = F.when(F.col("kind") == "message", F.concat(F.lit("messages["), F.col("msg_idx"), F.lit("].content"))).otherwise(F.col("kind"))
+    block = F.concat(place, F.lit("["), F.col("block_idx"), F.lit("]"))
+    inner = F.when(F.col("block_type").eqNullSafe("tool_result"), F.lit(".content")).otherwise(F.lit(".text"))
+    sub = F.when(F.col("sub_idx").isNotNull(), F.concat(F.lit("["), F.col("sub_idx"), F.lit("].text"))).otherwise("")
+    return F.when(F.col("plain"), place).otherwise(F.concat(block, inner, sub))
+
+
 def block_path() -> Column:
     place = F.when(F.col("kind") == "message", F.concat(F.lit("messages["), F.col("msg_idx"), F.lit("].content["), F.col("block_idx"), F.lit("]"))).otherwise(F.concat("kind", F.lit("["), "block_idx", F.lit("]")))
     return F.concat(place, F.when(F.col("sub_idx").isNotNull(), F.concat(F.lit(".content["), F.col("sub_idx"), F.lit("]"))).otherwise(""))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.rewrite import rewrite_text
-from gristmill.functions.sketch import projection_blake2b
+from gristmill.functions.sketch import projection_blake2b, signed_projection
 from gristmill.functions.text import middle_out, shingles, words
 from gristmill.operators.near_dup import leaders
 
@@ -45,9 +46,9 @@ def compacted(rows: DataFrame, levels: dict[str, str], text_col: str = "text", m
 
 
 def deduplicated(rows: DataFrame, group_col: str, id_col: str, text_col: str = "text", least: float = 0.985, seed: str = "compaction", width: int = 64) -> DataFrame:
-    """rows with leader: within its group (a request), the first earlier text kept whose projection has a cosine of at least
-    `least` with this one's; null for texts that are kept. Groups are the texts of one request, so all pairs within are
-    compared. Null and empty texts are kept, and lead none."""
+    """rows with leader: within its group (a request), the most similar earlier text kept whose projection has a cosine of
+    at least `least` with this one's; null for texts that are kept. Groups are the texts of one request, so all pairs
+    within are compared. Null and empty texts are kept, and lead none."""
     sketched = rows.filter(F.length(text_col) > 0).select(F.col(group_col).alias("grp"), F.col(id_col).alias("id"), projection_blake2b(shingles(words(F.col(text_col)), 5), seed, width).alias("v"))
     dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
     pairs = sketched.join(sketched.select("grp", F.col("id").alias("b"), F.col("v").alias("w")), "grp").filter(F.col("id") < F.col("b")).select("grp", F.col("id").alias("a"), "b", dot.alias("sim")).filter(F.col("sim") >= least)
@@ -55,6 +56,39 @@ def deduplicated(rows: DataFrame, group_col: str, id_col: str, text_col: str = "
     return rows.join(led, id_col, "left")
 
 
+def leading(rows: DataFrame, group_col: str, place_col: str, text_col: str = "text", least: float = 0.985, seed: str = "compaction", width: int = 64) -> DataFrame:
+    """group, place, leader and sim of the texts that give way to an earlier one: in order of place (an orderable string),
+    a text is kept unless the most similar kept one before it in its group has a cosine of at least `least` (the first on
+    ties). A group is the long texts of one request, which its payload bounds, and is folded in one task."""
+    kinds = dict(rows.dtypes)
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            v = pa.array([signed_projection(p or [], seed, width) for p in x.column("parts").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([x.column(group_col), x.column(place_col), v], names=[group_col, place_col, "v"])
+
+    parts = rows.select(group_col, place_col, shingles(words(F.col(text_col)), 5).alias("parts"))
+    sketched = parts.mapInArrow(sketch, f"{group_col} {kinds[group_col]}, {place_col} string, v array<double>")
+
+    def fold(found: pa.Table) -> pa.Table:
+        found = found.sort_by(place_col)
+        vectors = np.array(found.column("v").to_pylist()).reshape(found.num_rows, -1)
+        kept: list[int] = []
+        out = []
+        for i, v in enumerate(vectors):
+            sims = vectors[kept] @ v
+            best = int(sims.argmax()) if kept else -1
+            if kept and sims[best] >= least:
+                out.append((i, kept[best], float(sims[best])))
+            else:
+                kept.append(i)
+        i, j, sim = (pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.float64())))
+        place = found.column(place_col)
+        return pa.table({group_col: found.column(group_col).take(i), place_col: place.take(i), "leader": place.take(j), "sim": sim})
+
+    return sketched.groupBy(group_col).applyInArrow(fold, f"{group_col} {kinds[group_col]}, {place_col} string, leader string, sim double")
+
+
 def responses(rows: DataFrame, text_col: str = "text", max_chars: int = 20_000) -> DataFrame:
     """Responses are only shortened."""
     return rows.withColumn("compacted", middle_out(F.col(text_col), max_chars))

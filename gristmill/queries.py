@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import sketch, text
 from gristmill.functions.rewrite import ENGINES, rewritten
 from gristmill.operators import blocks, cache, limits, lookup, near_dup, request_log, usage, vectors
+from gristmill.plans import payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -453,6 +454,81 @@ def prefix_kept(spark, sf_dir):
     return rows.select("conv_id", "turn", kept.alias("kept"))
 
 
+def _literal(text):
+    """A string as JSON writes it."""
+    whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+_RID = "conv_id || '-' || turn AS request_id, coalesce(role, '') AS role, coalesce(text, '') AS text"
+_TOOLS = '"tools": [{"name": "a"}, {"name" :"b"} ], '
+
+
+def _payloads(spark, sf_dir):
+    """Each turn as a request with texts in all places, some of them looking like lists; even turns have tools."""
+    role, said = _literal(F.col("role")), lambda head: _literal(F.concat(F.lit(head), F.coalesce("text", F.lit(""))))
+    parts = [
+        F.lit('{"system": "[sys]", '), F.when(F.col("turn") % 2 == 0, F.lit(_TOOLS)).otherwise(""), F.lit('"messages" : [{"role":'), role, F.lit(', "content":'), said("[turn] "),
+        F.lit('},\n {"content": [{"type": "text", "text": '), said(""), F.lit('}, {"type": "tool_result", "content": '), said("[2024] "),
+        F.lit('}, {"type": "tool_result", "content": [{"type": "image"}, {"type": "text", "text": '), said("{}"), F.lit("}]}]}]}"),
+    ]
+    return _t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.concat(*parts).alias("payload"))
+
+
+_TEXTS = """
+SELECT request_id, 'system' AS path, NULL AS role, '[sys]' AS text FROM r
+UNION ALL SELECT request_id, 'messages[0].content', role, '[turn] ' || text FROM r
+UNION ALL SELECT request_id, 'messages[1].content[0].text', NULL, text FROM r
+UNION ALL SELECT request_id, 'messages[1].content[1].content', NULL, '[2024] ' || text FROM r
+UNION ALL SELECT request_id, 'messages[1].content[2].content[1].text', NULL, '{}' || text FROM r
+UNION ALL SELECT request_id, 'tools[' || i || '].text', NULL, NULL FROM r, (SELECT unnest([0, 1]) AS i) WHERE turn % 2 = 0"""
+
+
+@query(f"WITH r AS (SELECT {_RID}, turn FROM conversations), t AS ({_TEXTS}) SELECT request_id, path, role, length(text)::INT AS chars, md5(text) AS digest FROM t")
+def payload_blocks(spark, sf_dir):
+    rows = blocks.blocks(_payloads(spark, sf_dir))
+    return rows.select("request_id", blocks.json_path().alias("path"), "role", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+_WRITTEN = """'{"system": ' || %s || ', ' || CASE WHEN turn %% 2 = 0 THEN %s ELSE '' END || '"messages" : [{"role":' || to_json(role) || ', "content":' || to_json(%s) || E'},\\n {"content": [{"type": "text", "text": '
+  || to_json(%s) || '}, {"type": "tool_result", "content": ' || to_json(%s) || '}, {"type": "tool_result", "content": [{"type": "image"}, {"type": "text", "text": ' || to_json(%s) || '}]}]}]}'"""
+_SAID = ("'[turn] ' || text", "text", "'[2024] ' || text", "'{}' || text")
+_MARKED_SYSTEM = """CASE WHEN turn % 2 = 0 THEN '"[sys]"' ELSE '[{"type": "text", "text": "[sys]", "cache_control": {"type": "ephemeral"}}]' END"""
+_MARKED_TOOLS = _TOOLS.replace('"b"}', '"b", "cache_control": {"type": "ephemeral"}}')
+
+
+@query(f"SELECT request_id, md5({_WRITTEN % (_MARKED_SYSTEM, repr(_MARKED_TOOLS), *_SAID)}) AS digest FROM (SELECT {_RID}, turn FROM conversations)")
+def marked_payloads(spark, sf_dir):
+    """The last tool gets a marker, or else the system, promoted to a list; all else keeps its bytes."""
+    return payloads.marked(_payloads(spark, sf_dir)).select("request_id", F.md5("payload").alias("digest"))
+
+
+@query(f"SELECT request_id, md5({_WRITTEN % (repr(chr(34) + '[sys]' + chr(34)), repr(_TOOLS), *(f'left({x}, 20)' for x in _SAID))}) AS digest FROM (SELECT {_RID}, turn FROM conversations)")
+def shortened_payloads(spark, sf_dir):
+    """Message texts cut to 20 characters, in place."""
+    return payloads.shortened_tail(_payloads(spark, sf_dir), lambda t: F.substring(t, 1, 20))[0].select("request_id", F.md5("payload").alias("digest"))
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT {_RID} FROM conversations),
+p AS (
+  SELECT request_id, json_array(json_object('type', 'tool_result', 'content', json_array(text, json_object('text', '[' || text, 'content', json_array(
+         json_object('content', json_array(json_object('text', text || '.', 'content', '[2] ' || text), 7)))))), json_object('text', 5)) AS v FROM r),
+n AS (
+  SELECT request_id, v FROM p
+  UNION ALL
+  SELECT request_id, unnest(CASE json_type(v) WHEN 'ARRAY' THEN from_json(v, '["JSON"]') ELSE [v->'text', v->'content'] END) FROM n WHERE json_type(v) IN ('ARRAY', 'OBJECT')),
+leaves AS (SELECT request_id, v->>'$' AS text FROM n WHERE json_type(v) = 'VARCHAR'),
+t AS ({ORACLES["token_estimate"].replace("doc_id", "request_id").replace("documents", "leaves")})
+SELECT request_id, count(*) AS texts, sum(tokens)::BIGINT AS tokens FROM t GROUP BY request_id""")
+def nested_tokens(spark, sf_dir):
+    """Tokens of texts within tool results within tool results, four levels deep."""
+    said = lambda head, tail="": _literal(F.concat(F.lit(head), F.coalesce("text", F.lit("")), F.lit(tail)))
+    parts = [F.lit('{"messages": [{"content": [{"type": "tool_result", "content": ['), said(""), F.lit(', {"text": '), said("["), F.lit(', "content": [{"content": [{"text": '), said("", "."), F.lit(', "content": '), said("[2] "), F.lit('}, 7]}]}]}, {"text": 5}]}]}')]
+    rows = _t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.concat(*parts).alias("payload"))
+    return blocks.nested_texts(rows).groupBy("request_id").agg(F.count("*").alias("texts"), F.sum(text.estimate_tokens(F.col("text")).cast("long")).alias("tokens"))
+
+
 @query(r"""
 WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?|[^\s]'), lambda x: lower(x)) AS t FROM conversations)
 SELECT conv_id, turn, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS digest FROM t""")
