@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators.sequences import reuse_distances
+
 #: Upper edges (inclusive) of the latency bins in ms; one more bin holds what is above, shown as OVERFLOW.
 EDGES = (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10_000, 30_000, 60_000, 120_000)
 OVERFLOW = 240_000
@@ -98,22 +97,7 @@ def runs(rows: DataFrame, by: str, order: str, key: str) -> DataFrame:
 
 
 def lru_hits(accesses: DataFrame, capacity: int, order: str = "seq", key: str = "key", by: str = "cache") -> DataFrame:
-    """by, order, key, hit: whether an LRU cache of capacity entries holds the key at each access. A cache's accesses are
-    one sequence; its task streams them in order and remembers capacity keys."""
-    rows = accesses.select(by, order, key).repartition(by).sortWithinPartitions(by, order)
-
-    def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, begun, held = None, False, OrderedDict()
-        for frame in batches:
-            hits = []
-            for b, k in zip(frame[by], frame[key]):
-                if not begun or b != cache:
-                    cache, begun, held = b, True, OrderedDict()
-                hits.append(k in held)
-                held[k] = None
-                held.move_to_end(k)
-                if len(held) > capacity:
-                    held.popitem(last=False)
-            yield frame.assign(hit=hits)
-
-    return rows.mapInPandas(fold, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", hit boolean")
+    """by, order, key, hit: whether an LRU cache of capacity entries holds the key at each access: if fewer than capacity
+    other keys were used since. No task holds the accesses of a cache."""
+    found = reuse_distances(accesses.select(by, order, key), [order], key, by)
+    return found.select(by, order, key, F.coalesce(F.col("distance") < capacity, F.lit(False)).alias("hit"))

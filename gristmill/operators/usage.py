@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from gristmill.operators.sequences import running_sums
 
 from gristmill.operators.lookup import longest_prefix
 
@@ -44,9 +45,20 @@ def rollup(costs: DataFrame) -> DataFrame:
 
 def running_budget(calls: DataFrame, limit: int, order: str = "seq", amount: str = "chars", by: str | None = None) -> DataFrame:
     """calls with used (running sum), remaining and exceeded (used >= limit) in order, for each by (or all)."""
-    window = Window.partitionBy(*([by] if by else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(amount).over(window)
-    return calls.withColumn("used", used).withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used"))).withColumn("exceeded", F.col("used") >= limit)
+    return _within(running_sums(calls, {"used": amount}, [order], [by] if by else []), limit, "")
+
+
+def running_budgets(calls: DataFrame, limits: dict[str, int], order: str = "seq", by: str | None = None) -> DataFrame:
+    """The same for several axes at once: limits names the columns; used_x, remaining_x and exceeded_x for each."""
+    out = running_sums(calls, {f"used_{a}": a for a in limits}, [order], [by] if by else [])
+    for axis, limit in limits.items():
+        out = _within(out, limit, f"_{axis}")
+    return out
+
+
+def _within(rows: DataFrame, limit: int, end: str) -> DataFrame:
+    used = F.col(f"used{end}")
+    return rows.withColumn(f"remaining{end}", F.greatest(F.lit(0), F.lit(limit) - used)).withColumn(f"exceeded{end}", used >= limit)
 
 
 def merged(parts: DataFrame, key: str) -> DataFrame:

@@ -287,13 +287,14 @@ def run_islands(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT user_id % 4 AS cache, event_id AS seq, user_id AS key FROM events),
-p AS (SELECT *, lag(seq) OVER (PARTITION BY cache, key ORDER BY seq) AS before FROM s),
-d AS (SELECT p.cache, p.seq, count(DISTINCT o.key) AS d FROM p JOIN s o ON o.cache = p.cache AND o.seq > p.before AND o.seq < p.seq AND o.key <> p.key GROUP BY 1, 2)
-SELECT p.cache, p.seq, p.key, p.before IS NOT NULL AND coalesce(d.d, 0) < 10 AS hit FROM p LEFT JOIN d USING (cache, seq)""")
+WITH s AS (SELECT event_id AS seq, user_id AS key FROM events),
+p AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS before FROM s),
+d AS (SELECT p.seq, count(DISTINCT o.key) AS d FROM p JOIN s o ON o.seq > p.before AND o.seq < p.seq AND o.key <> p.key GROUP BY 1)
+SELECT 0 AS cache, p.seq, p.key, p.before IS NOT NULL AND coalesce(d.d, 0) < 40 AS hit FROM p LEFT JOIN d USING (seq)""")
 def lru_hits(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
-    return request_log.lru_hits(rows, 10)
+    """One cache over all events."""
+    rows = _t(spark, sf_dir, "events").select(F.lit(0).alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
+    return request_log.lru_hits(rows, 40)
 
 
 @query("""
@@ -366,6 +367,16 @@ def budget_running(spark, sf_dir):
     return usage.running_budget(calls, 1000, by="user_id").drop("chars")
 
 
+@query("""
+SELECT event_id AS seq, (sum(event_id % 50) OVER w)::BIGINT AS used_chars, greatest(0, 1000000 - sum(event_id % 50) OVER w)::BIGINT AS remaining_chars, sum(event_id % 50) OVER w >= 1000000 AS exceeded_chars,
+       (sum(user_id) OVER w)::BIGINT AS used_tokens, greatest(0, 5000 - sum(user_id) OVER w)::BIGINT AS remaining_tokens, sum(user_id) OVER w >= 5000 AS exceeded_tokens
+FROM events WINDOW w AS (ORDER BY event_id)""")
+def budget_total(spark, sf_dir):
+    """One budget over all events, on two axes."""
+    calls = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 50).alias("chars"), F.col("user_id").alias("tokens"))
+    return usage.running_budgets(calls, {"chars": 1_000_000, "tokens": 5000}).drop("chars", "tokens")
+
+
 # ---- cache ----------------------------------------------------------------------------------------------------------
 
 
