@@ -6,9 +6,11 @@ import json
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.operators.sequences import running_sums
+
 #: Headers whose values are hidden in captures, and headers that aren't stored with a cached response.
 HIDDEN = ("authorization", "x-api-key", "cookie", "set-cookie", "proxy-authorization")
 UNSTORED = ("content-length", "transfer-encoding", "connection", "content-encoding", "set-cookie")
@@ -71,10 +73,74 @@ def touched(entries: DataFrame, hits: DataFrame, key: str = "cache_key", ts: str
 
 
 def evicted(entries: DataFrame, most: int) -> DataFrame:
-    """entries without the least recently used beyond most (0 or less: none go)."""
+    """entries without the least recently used beyond most (0 or less: none go). Keys are ranked part by part, so that
+    no task holds all that stay."""
     if most <= 0:
         return entries
-    return entries.orderBy(F.desc_nulls_last("last_hit_at"), F.desc("inserted_at"), "cache_key").limit(most)
+    keys = entries.select("cache_key", "last_hit_at", "inserted_at", F.lit(1).alias("__one"))
+    ranked = running_sums(keys, {"__rank": "__one"}, [F.desc_nulls_last("last_hit_at"), F.desc("inserted_at"), F.asc("cache_key")])
+    return entries.join(ranked.filter(F.col("__rank") <= most).select("cache_key"), "cache_key", "left_semi").select(*entries.columns)
+
+
+ENTRY = "cache_key string, status_code int, headers map<string,string>, body binary, media_type string, inserted_at double, last_hit_at double, hit_count long, body_bytes long"
+_STORED = ["status_code", "headers", "body", "media_type"]
+
+
+def merged(entries: DataFrame, deltas: DataFrame, most: int = 0, max_body_bytes: int = 1 << 20) -> DataFrame:
+    """entries (ENTRY) after deltas (op: put, hit or purge; cache_key, ts, seq, and for a put status_code, headers, body and
+    media_type), in order of ts and seq; then the least recently used beyond most go.
+
+    A purge empties the cache. A put replaces the entry and its counts; one of another status than 2xx, or too large, is
+    passed over. A hit counts for the entry that is there, if there is one. The newest put of a key and its hits are
+    found by aggregates that begin before the shuffle, so that a key with many hits is a few rows."""
+    when = F.struct("ts", "seq")
+    purged = deltas.filter("op = 'purge'").agg(F.max(when).alias("purged"))  # one row
+    since = deltas.crossJoin(F.broadcast(purged)).filter((F.col("op") != "purge") & (F.col("purged").isNull() | (when > F.col("purged"))))
+    size = F.coalesce(F.octet_length("body"), F.lit(0))
+    good = (F.col("op") == "put") & F.col("status_code").between(200, 299) & (size <= max_body_bytes)
+    puts = since.filter(good).groupBy("cache_key").agg(F.max(when).alias("put_at"))
+    hits = since.filter("op = 'hit'").select("cache_key", when.alias("at")).join(puts, "cache_key", "left").filter(F.col("put_at").isNull() | (F.col("at") > F.col("put_at")))
+    hits = hits.groupBy("cache_key").agg(F.count("*").alias("__n"), F.max("at.ts").alias("__last"))
+    new = since.filter(good).withColumn("at", when).join(puts.withColumnRenamed("put_at", "at"), ["cache_key", "at"]).dropDuplicates(["cache_key"])
+    new = new.select("cache_key", *_STORED, F.col("ts").alias("inserted_at"), F.col("ts").alias("last_hit_at"), F.lit(0).cast("long").alias("hit_count"), size.cast("long").alias("body_bytes"))
+    new = new.withColumn("headers", stored_headers(F.col("headers")))
+    old = entries.crossJoin(F.broadcast(purged)).filter("purged is null").drop("purged").join(puts.select("cache_key"), "cache_key", "left_anti")
+    every = old.select(*new.columns).unionByName(new).join(hits, "cache_key", "left")
+    every = every.withColumn("last_hit_at", F.greatest("last_hit_at", "__last")).withColumn("hit_count", F.col("hit_count") + F.coalesce("__n", F.lit(0)))
+    return evicted(every.select(*[f.split()[0] for f in ENTRY.replace("map<string,string>", "m").split(", ")]), most)
+
+
+class CacheTable:
+    """Entries as versions in a folder: each merge writes the next version whole, readers take the newest complete one.
+
+    A batch that comes again (a restarted stream) finds its version and writes nothing. Versions before the last two are
+    deleted."""
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 0) -> None:
+        self.spark, self.path, self.most = spark, path.rstrip("/"), most
+
+    def _folder(self, name: str = ""):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def versions(self) -> list[int]:
+        files, at = self._folder()
+        names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+        found = sorted(int(n.removeprefix("v")) for n in names if n.startswith("v"))
+        return [v for v in found if files.exists(self._folder(f"v{v}/_SUCCESS")[1])]
+
+    def current(self) -> DataFrame:
+        found = self.versions()
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], ENTRY)
+
+    def merge(self, deltas: DataFrame, batch: int) -> None:
+        done = self.versions()
+        if batch in done or done and done[-1] > batch:
+            return
+        merged(self.current(), deltas, self.most).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
+        for old in done[:-1]:
+            files, at = self._folder(f"v{old}")
+            files.delete(at, True)
 
 
 def stats(entries: DataFrame) -> DataFrame:

@@ -100,16 +100,26 @@ def route(model: Column, hint: Column, adapters: list[tuple[str, list[str]]], de
 
 
 def policies(text: str) -> list[tuple[str, str, str]]:
-    """Rules from a JSON list of {model_glob, endpoint, policy}; unknown fields are an error."""
-    out = []
-    for rule in json.loads(text):
-        if extra := set(rule) - {"model_glob", "endpoint", "policy"} | set(rule.get("policy", {})) - set(POLICY_FIELDS):
-            raise ValueError(f"unknown fields {sorted(extra)}")
-        most = rule.get("policy", {}).get("max_text_chars")
-        if most is not None and int(most) < 0:
-            raise ValueError(f"max_text_chars is below 0: {most}")
-        out.append((rule.get("model_glob", "*"), rule.get("endpoint", "*"), json.dumps(rule.get("policy", {}), sort_keys=True)))
-    return out
+    """Rules (model glob, endpoint, policy as JSON) of a document {default, rules: [{model_glob, endpoint, policy}]}, the
+    default last, for all models and endpoints. A list of rules alone has no default. Anything else, and unknown fields of
+    a policy, are an error."""
+    found = json.loads(text) if text.strip() else {}
+    if isinstance(found, list):
+        return [_rule(r, f"rule {i}") for i, r in enumerate(found)]
+    if not isinstance(found, dict) or not isinstance(found.get("rules", []), list):
+        raise ValueError("policies are an object with a list of rules")
+    return [*(_rule(r, f"rule {i}") for i, r in enumerate(found.get("rules", []))), _rule({"policy": found.get("default")}, "default")]
+
+
+def _rule(rule: dict, where: str) -> tuple[str, str, str]:
+    if not isinstance(rule, dict) or not isinstance(policy := rule.get("policy") or {}, dict):
+        raise ValueError(f"{where} is no object")
+    if extra := set(rule) - {"model_glob", "endpoint", "policy"} | set(policy) - set(POLICY_FIELDS):
+        raise ValueError(f"{where}: unknown fields {sorted(extra)}")
+    most = policy.get("max_text_chars")
+    if most is not None and int(most) < 0:
+        raise ValueError(f"{where}: max_text_chars is below 0: {most}")
+    return str(rule.get("model_glob", "*")), str(rule.get("endpoint", "*")), json.dumps(policy, sort_keys=True)
 
 
 def context_window(model: Column, windows: list[tuple[str, int]] = WINDOWS, default: int = WINDOW) -> Column:

@@ -9,24 +9,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.operators.near_dup import settled
 
-PART = "__part"
+PART = "__seq_part"
 #: Chunks into which reuse_distances cuts a sequence: the table of chunk by chunk (at most their square) fits a task.
 CHUNKS = 1024
 
 
-def in_parts(rows: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
+def in_parts(rows: DataFrame, *order: str | Column, parts: int | None = None) -> DataFrame:
     """rows with the number of their part: parts follow each other in the order, and each is a task's. Without a number
     of parts, Spark sizes them."""
     return settled(rows.repartitionByRange(*([parts] if parts else []), *order).withColumn(PART, F.spark_partition_id()))
 
 
-def running_sums(rows: DataFrame, sums: dict[str, str], order: list[str], by: list[str] | None = None, parts: int | None = None) -> DataFrame:
+def running_sums(rows: DataFrame, sums: dict[str, str], order: list[str | Column], by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """rows with a column for each entry of sums (new column: column to add up; null adds nothing), up to and with the row
     itself, in order, within equal values of by (null is a value)."""
     by = by or []
@@ -35,12 +35,12 @@ def running_sums(rows: DataFrame, sums: dict[str, str], order: list[str], by: li
     # One row for each part and value of by.
     totals = dealt.groupBy(PART, *by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()))
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(F.col(PART).alias("__p"), *(F.col(c).alias(f"__by_{c}") for c in by), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}") for n in sums))
-    same = F.col(PART) == F.col("__p")
+    before = totals.select(F.col(PART).alias("__seq_p"), *(F.col(c).alias(f"__seq_by_{c}") for c in by), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__seq_{n}") for n in sums))
+    same = F.col(PART) == F.col("__seq_p")
     for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"__seq_by_{c}"))
     own = dealt.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()))
-    return own.join(before, same).select(*rows.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
+    return own.join(before, same).select(*rows.columns, *((F.col(n) + F.col(f"__seq_{n}")).alias(n) for n in sums))
 
 
 def row_before(rows: DataFrame, value: str, order: list[str], by: list[str], name: str, parts: int | None = None) -> DataFrame:
@@ -49,10 +49,10 @@ def row_before(rows: DataFrame, value: str, order: list[str], by: list[str], nam
     within = Window.partitionBy(PART, *by).orderBy(*order)
     last = dealt.groupBy(PART, *by).agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__last"))
     earlier = Window.partitionBy(*by).orderBy(PART)
-    carried = last.select(F.col(PART).alias("__p"), *(F.col(c).alias(f"__by_{c}") for c in by), F.lag("__last").over(earlier)["__v"].alias("__carried"))
-    same = F.col(PART) == F.col("__p")
+    carried = last.select(F.col(PART).alias("__seq_p"), *(F.col(c).alias(f"__seq_by_{c}") for c in by), F.lag("__last").over(earlier)["__v"].alias("__carried"))
+    same = F.col(PART) == F.col("__seq_p")
     for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"__seq_by_{c}"))
     own = dealt.withColumn("__before", F.lag(value).over(within))
     return own.join(carried, same).select(*rows.columns, F.coalesce("__before", "__carried").alias(name))
 

@@ -404,6 +404,25 @@ def cache_keys(spark, sf_dir):
 # ---- conversations as requests --------------------------------------------------------------------------------------
 
 
+@query("""
+WITH e AS (SELECT event_id AS ts, user_id AS k, CASE WHEN event_id = 300 THEN 'purge' WHEN event_id % 7 = 0 THEN 'put' ELSE 'hit' END AS op, CASE WHEN event_id % 35 = 0 THEN 500 ELSE 200 END AS status, props FROM events),
+s AS (SELECT * FROM e WHERE ts > 300),
+p AS (SELECT k, max(ts) AS at FROM s WHERE op = 'put' AND status = 200 GROUP BY k),
+h AS (SELECT s.k, count(*) AS n, max(ts) AS last FROM s JOIN p ON p.k = s.k AND s.ts > p.at AND op = 'hit' GROUP BY s.k)
+SELECT 'k' || p.k AS cache_key, p.at::DOUBLE AS inserted_at, coalesce(last, p.at)::DOUBLE AS last_hit_at, coalesce(n, 0)::BIGINT AS hit_count, strlen(e.props)::BIGINT AS body_bytes, md5(e.props) AS body
+FROM p JOIN e ON e.ts = p.at LEFT JOIN h ON h.k = p.k ORDER BY last_hit_at DESC, inserted_at DESC, cache_key LIMIT 40""")
+def cache_merge(spark, sf_dir):
+    """Events as puts, hits and a purge of a cache that keeps 40 entries."""
+    n = F.col("event_id")
+    op = F.when(n == 300, "purge").when(n % 7 == 0, "put").otherwise("hit")
+    deltas = _t(spark, sf_dir, "events").select(
+        op.alias("op"), F.concat(F.lit("k"), "user_id").alias("cache_key"), n.cast("double").alias("ts"), n.alias("seq"), F.when(n % 35 == 0, 500).otherwise(200).alias("status_code"),
+        F.create_map(F.lit("a"), F.lit("b")).alias("headers"), F.col("props").cast("binary").alias("body"), F.lit("text/plain").alias("media_type"),
+    )
+    out = cache.merged(spark.createDataFrame([], cache.ENTRY), deltas, 40)
+    return out.select("cache_key", "inserted_at", "last_hit_at", "hit_count", "body_bytes", F.md5("body").alias("body"))
+
+
 @query("""
 WITH t AS (SELECT conv_id, turn, role, text, max(turn) FILTER (role = 'system') OVER (PARTITION BY conv_id) AS wall FROM conversations)
 SELECT conv_id, turn, coalesce(turn <= wall, FALSE) AS protected FROM t""")
