@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a min-cost flow over membership patterns.
 
-Documents are aggregated by the set of sources they belong to; only these totals reach the driver, where a small flow
-network sends each pattern's words to the quotas of its sources. The first use of a word costs 0, the second 1, the
+Documents are aggregated by the set of sources they belong to. Where sets overlap, their totals reach the driver, where a
+small flow network sends each pattern's words to the quotas of its sources; a source that shares no document needs none. The first use of a word costs 0, the second 1, the
 third 2 (convex), so nothing is repeated while unused words are left. Documents are then taken in a seeded order: all
 of a pattern's documents as often as its flow holds the pattern whole, and a seeded part once more; the document at
 the boundary is cut, so that the words taken are exactly the flow.
@@ -13,16 +13,17 @@ the named columns are used.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gristmill.llm.shared import saved
+from gristmill.llm.shared import saved, sized
+from gristmill.operators.sequences import running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -97,6 +98,59 @@ def route(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int],
     return flow
 
 
+def _quotas(members: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
+    """source, source_size, target and quota (whole words) of each source, as target_shares has them: in order of size by
+    weight, those whose share is above their limit are a first part, found by running sums."""
+    number = lambda c: c.cast("decimal(38,0)")
+    sizes = members.select(F.explode("sources").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("source_size"))
+    ranked = running_sums(sizes.withColumn("one", F.lit(1)), {"rank": "one"}, [F.asc_nulls_last("source")])
+    weight = number(F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1).cast("int") % len(weights) + 1))
+    ranked = ranked.withColumn("weight", weight).withColumn("most", number(F.col("source_size") * max_repeats))
+    # Times a common multiple of the weights, size by weight is a whole number.
+    ranked = ranked.withColumn("by_weight", number(F.col("most") * lcm(*weights) / F.col("weight")))
+    upto = running_sums(ranked, {"most_upto": "most", "weight_upto": "weight"}, ["by_weight", F.asc_nulls_last("source")])
+    total = F.lit(members.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]).cast("decimal(38,0)")
+    every = F.lit(ranked.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]).cast("decimal(38,0)")
+    left, weights_left = total - F.col("most_upto") + F.col("most"), every - F.col("weight_upto") + F.col("weight")
+    judged = saved(upto.withColumn("full", number(left) * F.col("weight") >= F.col("most") * number(weights_left)), "mix-sources")
+    full, open_weight = judged.agg(F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))), F.lit(1))).first()
+    share = number((total - F.lit(full).cast("decimal(38,0)"))) * F.col("weight")
+    rest = F.lit(open_weight).cast("decimal(38,0)")
+    return judged.select(
+        "source", "source_size",
+        F.round(F.when(F.col("full"), F.col("most").cast("double")).otherwise(number(share).cast("double") / rest.cast("double")), 6).alias("target"),
+        F.when(F.col("full"), F.col("most")).otherwise(number((share - share % rest) / rest)).cast("long").alias("quota"),
+    )
+
+
+def _plan(patterns: DataFrame, weights: Sequence[int], max_repeats: int, max_patterns: int) -> DataFrame:
+    """pattern, source_size, target, whole and rest. A source whose documents belong to it alone fills its own quota;
+    patterns that share sources, and these sources' own, are routed on the driver."""
+    spark = patterns.sparkSession
+    members = patterns.select("pattern", "words", F.from_json("pattern", "array<string>").alias("sources"))
+    quotas = saved(_quotas(members, weights, max_repeats), "mix-quotas")
+    shared = members.filter(F.size("sources") > 1)
+    touched = shared.select(F.explode("sources").alias("source")).distinct().withColumnRenamed("source", "touched")
+    alone = members.filter(F.size("sources") == 1).select("pattern", "words", F.col("sources")[0].alias("own"))
+    meets = F.col("own").eqNullSafe(F.col("touched"))
+    plain = alone.join(touched, meets, "left_anti").join(quotas, F.col("own").eqNullSafe(F.col("source")))
+    some = F.col("words") > 0
+    out = plain.select("pattern", "source_size", "target", F.when(some, F.expr("quota div words")).otherwise(0).cast("long").alias("whole"), F.when(some, F.col("quota") % F.col("words")).otherwise(0).cast("long").alias("rest"))
+    tangled = shared.unionByName(alone.join(touched, meets, "left_semi").select("pattern", "words", F.array("own").alias("sources"))).limit(max_patterns + 1).collect()
+    if len(tangled) > max_patterns:
+        raise ValueError(f"more than {max_patterns} membership patterns overlap")
+    if not tangled:
+        return out
+    known = quotas.join(touched, F.col("source").eqNullSafe(F.col("touched")), "left_semi").collect()
+    place = {r["source"]: i for i, r in enumerate(known)}
+    flow = route([([place[s] for s in r["sources"]], r["words"]) for r in tangled], [r["quota"] for r in known], max_repeats)
+    rows = []
+    for r, f in zip(tangled, flow, strict=True):
+        first = known[place[r["sources"][0]]]
+        rows.append((r["pattern"], first["source_size"], first["target"], *(divmod(sum(f), r["words"]) if r["words"] else (0, 0))))
+    return out.unionByName(spark.createDataFrame(rows, out.schema))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -113,10 +167,9 @@ def mix(
 
     source_col may hold a string or an array of strings (overlapping sources). Sources in code point order, null
     last, have the weights, repeated; the words of all documents are shared by weight, up to max_repeats times a
-    source's size. source_size and target are those of the document's first source. More than max_patterns different
-    sets of sources are an error: their totals go to the driver.
+    source's size. source_size and target are those of the document's first source. Sources may be many; more than
+    max_patterns sets of sources that overlap with others are an error, as their totals go to the driver.
     """
-    spark = docs.sparkSession
     held = F.col(source_col)
     if not isinstance(docs.schema[source_col].dataType, T.ArrayType):
         held = F.array(held.cast("string"))
@@ -128,35 +181,17 @@ def mix(
         F.struct(*(F.col(c) for c in docs.columns)).alias("kept"),
     )
     lean = saved(rows.drop("kept"), "mix-sizes")
-    totals = lean.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
-    if len(totals) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    members = [json.loads(r["pattern"]) for r in totals]
-    sources = sorted({s for m in members for s in m}, key=lambda s: (s is None, s or ""))
-    place = {s: i for i, s in enumerate(sources)}
-    sizes = [0] * len(sources)
-    for m, r in zip(members, totals, strict=True):
-        for s in m:
-            sizes[place[s]] += r["words"]
-    weight = [weights[i % len(weights)] for i in range(len(sources))]
-    targets = target_shares(sizes, weight, sum(r["words"] for r in totals), max_repeats)
-    flow = route([([place[s] for s in m], r["words"]) for m, r in zip(members, totals, strict=True)], [int(t) for t in targets], max_repeats)
-    plan = []
-    for m, r, f in zip(members, totals, flow, strict=True):
-        words, first = sum(f), place[m[0]]
-        whole, rest = divmod(words, r["words"]) if r["words"] else (0, 0)
-        plan.append((r["pattern"], sizes[first], round(float(targets[first]), 6), whole, rest))
-    plan = spark.createDataFrame(plan, "pattern string, source_size long, target double, whole long, rest long")
+    plan = sized(saved(_plan(saved(lean.groupBy("pattern").agg(F.sum("size").alias("words")), "mix-patterns"), weights, max_repeats, max_patterns), "mix-plan"))
 
     # The seeded order is walked in two steps: totals of its buckets, then only the documents of the boundary bucket.
     bucket = F.substring("draw", 1, BUCKET_DIGITS)
     order = Window.partitionBy("pattern").orderBy("bucket")
     steps = lean.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    steps = steps.withColumn("upto", F.sum("words").over(order)).join(F.broadcast(plan.select("pattern", "rest")), "pattern")
+    steps = steps.withColumn("upto", F.sum("words").over(order)).join(plan.select("pattern", "rest"), "pattern")
     boundary = steps.filter((F.col("upto") - F.col("words") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
     boundary = boundary.groupBy("pattern").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("at"))
-    boundary = boundary.select("pattern", F.col("at.bucket").alias("last_bucket"), F.col("at.left").alias("left"))
-    rows = (rows if keep else lean).join(F.broadcast(plan), "pattern").join(F.broadcast(boundary), "pattern", "left").withColumn("bucket", bucket)
+    boundary = sized(saved(boundary.select("pattern", F.col("at.bucket").alias("last_bucket"), F.col("at.left").alias("left")), "mix-boundary"))
+    rows = (rows if keep else lean).join(plan, "pattern").join(boundary, "pattern", "left").withColumn("bucket", bucket)
     # No boundary: the rest is 0 (or the pattern has no words), so nothing more is taken.
     sure = rows.filter(F.col("last_bucket").isNull() | (F.col("bucket") != F.col("last_bucket")))
     sure = sure.withColumn("more", F.when(F.col("bucket") < F.col("last_bucket"), F.col("size")).otherwise(0))

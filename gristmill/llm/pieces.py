@@ -35,7 +35,7 @@ UNREACHED = float("-inf")
 
 
 class Vocabulary(NamedTuple):
-    pieces: dict[str, tuple[int, int]]  #: piece -> (score, id)
+    pieces: dict[str, tuple[float, int]]  #: piece -> (score, id)
     bytes_at: int  #: id of the byte piece 0; the others follow
     texts: list[bytes]  #: what each id stands for
 
@@ -57,7 +57,7 @@ def load(model_file: str = MODEL) -> Vocabulary:
         else:
             if "\n" in piece or SPACE in piece.lstrip(SPACE):
                 raise ValueError(f"piece {i} goes over a chunk boundary")
-            pieces[piece] = (round(model.get_score(i)), i)
+            pieces[piece] = (model.get_score(i), i)
             texts.append(piece.replace(SPACE, " ").encode())
     if bytes_at is None:
         raise ValueError("the model has no byte pieces")

@@ -70,3 +70,28 @@ def test_overlapping_sources(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(docs).count() == 0 and mixing.mixed(docs).count() == 0
+
+
+def test_many_sources(spark):
+    """As the query's SQL has it, without a bound on the number of sources."""
+    import duckdb
+    import pandas as pd
+
+    from gristmill.llm.queries import OP6_SQL
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 9)), f"s{i}" if i % 3 else None) for i in range(25_000)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
+    want = duckdb.connect().register("documents", documents).sql(OP6_SQL).fetchall()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_targets_in_running_sums(spark):
+    rng = random.Random(6)
+    for weights in ([5, 2, 1], [3, 4]):
+        rows = [(chr(97 + i), rng.choice([0, 1, 5, 40, 500])) for i in range(20)]
+        members = spark.createDataFrame([(f'["{s}"]', n, [s]) for s, n in rows], "pattern string, words long, sources array<string>")
+        want = mixing.target_shares([n for _, n in rows], [weights[i % len(weights)] for i in range(20)], sum(n for _, n in rows))
+        got = {r.source: (r.quota, r.target) for r in mixing._quotas(members, weights, 3).collect()}
+        assert got == {s: (int(t), round(float(t), 6)) for (s, _), t in zip(rows, want)}

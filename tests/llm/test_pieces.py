@@ -86,3 +86,35 @@ def test_table(spark, vocabulary):
     df = spark.createDataFrame(rows, SCHEMA).select("text", pieces.encode(F.col("text"), vocabulary).alias("i"))
     assert all(r.d == (r.text or "") for r in df.select("text", pieces.decode(F.col("i"), vocabulary).alias("d")).collect())
     assert pieces.encoded(spark.createDataFrame([], SCHEMA), vocabulary).count() == 0
+
+
+def test_fractional_scores(monkeypatch):
+    """Scores are taken as they are, not rounded."""
+    import sentencepiece
+
+    class Model:
+        told = [("<0x%02X>" % i, 0.0) for i in range(256)] + [("a", -1.4), ("b", -1.4), ("ab", -2.6)]
+
+        def __init__(self, model_file):
+            pass
+
+        def get_piece_size(self):
+            return len(self.told)
+
+        def id_to_piece(self, i):
+            return self.told[i][0]
+
+        def get_score(self, i):
+            return self.told[i][1]
+
+        def is_byte(self, i):
+            return i < 256
+
+        def is_control(self, i):
+            return False
+
+        is_unknown = is_unused = is_control
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    found = pieces.load("none")
+    assert found.pieces["ab"][0] == -2.6 and list(pieces.Encoder(found).stream("ab")) == [258]
