@@ -23,7 +23,8 @@ LEVELS = {"conservative": Level(0.95, 8, 16), "standard": Level(0.88, 16, 8), "a
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perms: int = 32, width: int = 5) -> DataFrame:
     """rep, sig, copies: a row for each different signature, named by its smallest id; texts without words have none."""
-    sig = docs.select(F.col(id_col).alias("id"), sketch.minhash(F.col(text_col), perms, width).alias("sig")).filter("sig is not null")
+    # Filtered by words: a filter by the sketch would have it computed twice.
+    sig = docs.filter(F.size(text.words(F.col(text_col))) > 0).select(F.col(id_col).alias("id"), sketch.minhash(F.col(text_col), perms, width).alias("sig"))
     return sig.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
 
