@@ -83,6 +83,22 @@ def totals(log: DataFrame, bad: Column, chars_in: Column, chars_out: Column) ->
     return log.agg(F.count("*").alias("requests"), F.count_if(saved > 0).alias("compacted"), F.sum(saved).alias("saved"), F.count_if(bad).alias("errors"))
 
 
+def all_totals(log: DataFrame, bad: Column, saved_in: Column, saved_out: Column, bytes_in: Column, bytes_out: Column) -> DataFrame:
+    """One row: requests, compacted (something was saved, in or out), errors, and sums of both directions; nulls add nothing."""
+    none = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return log.agg(
+        F.count("*").alias("requests"), F.count_if((none(saved_in) != 0) | (none(saved_out) != 0)).alias("compacted"), F.count_if(F.coalesce(bad, F.lit(False))).alias("errors"),
+        total(none(saved_in), "saved_in"), total(none(saved_out), "saved_out"), total(F.greatest(F.lit(0), none(bytes_in)), "bytes_in"), total(F.greatest(F.lit(0), none(bytes_out)), "bytes_out"),
+    )
+
+
+def engine_totals(log: DataFrame, engines: Column) -> DataFrame:
+    """engine, saved: sums over the maps engine -> saved characters; what isn't above 0 adds nothing."""
+    each = log.select(F.explode(engines).alias("engine", "saved")).filter("saved > 0")
+    return each.groupBy("engine").agg(F.sum(F.col("saved").cast("long")).alias("saved"))
+
+
 def recent(log: DataFrame, n: int, ts: str = "ts", tie: str = "event_id", most: int = 200) -> DataFrame:
     """The last n (0 to most) rows, oldest first."""
     return log.orderBy(F.desc(ts), F.desc(tie)).limit(max(0, min(most, n))).orderBy(ts, tie)

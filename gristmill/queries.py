@@ -11,6 +11,7 @@ from gristmill.functions import sketch, text
 from gristmill.functions.rewrite import ENGINES, rewritten
 from gristmill.operators import blocks, cache, limits, lookup, near_dup, request_log, usage, vectors
 from gristmill.plans import payloads
+from gristmill.sources import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,6 +279,43 @@ def recent_requests(spark, sf_dir):
     return request_log.recent(_t(spark, sf_dir, "events"), 50).select("event_id", "user_id", "event_type")
 
 
+_SERIES = """
+SELECT 0 AS f, 0 AS p, NULL AS o, 'requests_total' AS n, 'counter' AS k, 'Requests seen.' AS h, count(*)::VARCHAR AS v FROM e
+UNION ALL SELECT 1, 0, NULL, 'compressed_requests_total', 'counter', 'Requests that something was saved on.', count_if(i > 0 OR o > 0)::VARCHAR FROM e
+UNION ALL SELECT 2, 0, NULL, 'upstream_errors_total', 'counter', 'Requests that failed.', count_if(bad)::VARCHAR FROM e
+UNION ALL SELECT 3, 0, NULL, 'chars_saved_in_total', 'counter', 'Characters saved on requests.', sum(i)::VARCHAR FROM e
+UNION ALL SELECT 4, 0, NULL, 'chars_saved_out_total', 'counter', 'Characters saved on responses.', sum(o)::VARCHAR FROM e
+UNION ALL SELECT 5, 0, NULL, 'protected_blocks_total', 'counter', 'Blocks left alone before a marker.', '0'
+UNION ALL SELECT 6, 0, NULL, 'cache_hits_total', 'counter', 'Texts found rewritten before.', '0'
+UNION ALL SELECT 7, 0, NULL, 'cache_misses_total', 'counter', 'Texts that had to be rewritten.', '0'
+UNION ALL SELECT 100, 0, NULL, 'uptime_seconds', 'gauge', 'Seconds since the start.', printf('%.6f', max(event_id) / 8.0) FROM e
+UNION ALL SELECT 101, 0, NULL, 'cache_size', 'gauge', 'Entries held.', '0'
+UNION ALL SELECT 102, 0, NULL, 'cache_max_entries', 'gauge', 'Entries that are held at most.', '0'
+UNION ALL SELECT 200, 0, 'input', 'input_compression_enabled', 'gauge', 'Whether requests are compacted.', '1'
+UNION ALL SELECT 300, u, event_type, 'engine_enabled', 'gauge', 'Whether an engine is on.', (u > 50)::INT::VARCHAR FROM (SELECT event_type, min(user_id)::INT AS u FROM e GROUP BY event_type)
+UNION ALL SELECT 500, 0, event_type, 'engine_chars_saved_total', 'counter', 'Characters saved by each engine.', sum(i)::VARCHAR FROM e WHERE i > 0 GROUP BY event_type
+UNION ALL SELECT 600, 0, NULL, 'similarity_threshold', 'gauge', 'Similarity from which texts are near-duplicates.', '0.985000'"""
+
+
+@query(f"""
+WITH e AS (SELECT event_id, user_id, event_type || '"\\' AS event_type, event_id % 50 - 9 AS x, greatest(0, event_id % 50 - 9) AS i, user_id % 3 AS o, event_type = 'error' OR event_id % 10 = 0 AS bad FROM events),
+s AS ({_SERIES}),
+l AS (
+  SELECT f, p, o, unnest([0, 1, 2]) AS i, unnest(['# HELP t_' || n || ' ' || h, '# TYPE t_' || n || ' ' || k, 't_' || n || CASE WHEN o IS NULL THEN '' ELSE '{{' || CASE WHEN f = 400 THEN 'feature' ELSE 'engine' END || '="' || replace(replace(o, '\\', '\\\\'), '"', '\\"') || '"}}' END || ' ' || v]) AS line,
+         row_number() OVER (PARTITION BY f ORDER BY p, o) = 1 AS first FROM s)
+SELECT (row_number() OVER (ORDER BY f, p, o NULLS FIRST, i) - 1)::INT AS at, line FROM l WHERE i = 2 OR first""")
+def metrics_exposition(spark, sf_dir):
+    """All series over all events, with labels that have to be escaped."""
+    e = _t(spark, sf_dir, "events").withColumn("event_type", F.concat("event_type", F.lit('"\\'))).withColumn("i", F.greatest(F.lit(0), F.col("event_id") % 50 - 9))
+    bad = F.col("event_type").startswith('error"') | (F.col("event_id") % 10 == 0)
+    totals = request_log.all_totals(e, bad, F.col("i"), F.col("user_id") % 3, F.lit(0), F.lit(0))
+    totals = totals.crossJoin(e.agg((F.max("event_id") / 8.0).alias("uptime_s"))).withColumn("similarity", F.lit(0.985))
+    engines = request_log.engine_totals(e, F.create_map("event_type", "i"))
+    on = e.groupBy(F.col("event_type").alias("name")).agg(F.min("user_id").cast("int").alias("place")).select(F.lit("engine").alias("family"), "place", "name", (F.col("place") > 50).alias("enabled"))
+    switches = on.unionByName(spark.range(1).select(F.lit("input").alias("family"), F.lit(0).alias("place"), F.lit("input").alias("name"), F.lit(True).alias("enabled")))
+    return logs.exposition(totals, engines, switches, "t")
+
+
 @query("""
 WITH e AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e)
