@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import combinations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -70,13 +71,16 @@ def exact_nearest(corpus: DataFrame, queries: DataFrame, id_col: str = "doc_id",
     return sim.withColumn("r", best).filter("r = 1").drop("r")
 
 
-def simhash_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3, blocks: int = 4, width: int = 5) -> DataFrame:
-    """a, b, hamming: pairs of texts whose SimHashes differ in at most most (< blocks) bits, named by the smallest id of
-    each hash; candidates share one of blocks equal parts of the hash."""
-    hashes = docs.select(F.col(id_col).alias("id"), sketch.simhash(F.col(text_col), width).alias("h")).filter("h != 0").groupBy("h").agg(F.min("id").alias("id"))
-    size = sketch.BITS // blocks
-    part = lambda h: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.expr("1L") * F.call_function("shiftright", h, i * size).bitwiseAND(F.lit((1 << size) - 1)))
-    keys = hashes.select("id", "h", F.posexplode(part(F.col("h"))).alias("block", "key"))
+def simhash_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3, width: int = 5) -> DataFrame:
+    """a, b, hamming: pairs of texts whose SimHashes differ in at most most bits, named by the smallest id of each hash;
+    texts whose hash is 0 have none."""
+    hashes = docs.select(F.col(id_col).alias("id"), sketch.simhash(F.col(text_col), width).alias("h")).groupBy("h").agg(F.min("id").alias("id"))
+    # Of 2 * most parts, most differing bits leave as many whole: pairs meet where a choice of them is equal, and such a
+    # key has half the bits. A key is made of the bits that its choice keeps.
+    n = max(1, 2 * most)
+    edges = [i * sketch.BITS // n for i in range(n + 1)]
+    masks = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen) for chosen in combinations(range(n), n - most)]
+    keys = hashes.select("id", "h", F.posexplode(F.when(F.col("h") != 0, F.array(*(F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in masks)))).alias("block", "key"))
     other = keys.select(F.col("id").alias("b"), F.col("h").alias("g"), "block", "key")
     met = keys.withColumnRenamed("id", "a").join(other, ["block", "key"]).filter("a < b")
     return met.select("a", "b", sketch.hamming(F.col("h"), F.col("g")).alias("hamming")).filter(F.col("hamming") <= most).distinct()

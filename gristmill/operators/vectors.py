@@ -1,13 +1,14 @@
-"""Exact cosine search over vectors."""
+"""Exact cosine search over vectors, a table of vectors with markers for what is deleted, and embedding by a client."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Queries up to this number are broadcast (they are counted); more are dealt into blocks, each against all vectors.
@@ -66,3 +67,49 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 def semantic_hits(vectors: DataFrame, queries: DataFrame, threshold: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, sim of the best vector of each query where its similarity is at least threshold."""
     return top_k(vectors, queries, 1, id_col, vector_col).filter(F.col("sim") >= threshold).drop("rank")
+
+
+def embedded(rows: DataFrame, opened: Callable[[], Callable[[list[str]], list[list[float]]]], text_col: str = "text", out: str = "embedding", batch: int = 64) -> DataFrame:
+    """rows with the vectors that a client gives their texts, `batch` at a time; null for a null text.
+
+    opened is called once in each task, before its first text, and gives the client: a function from texts to as many
+    vectors, all of one length. Anything else is an error, as is a number that isn't finite."""
+    schema = rows.withColumn(out, F.lit(None).cast("array<double>")).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, length = None, None
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            asked = [i for i, t in enumerate(texts) if t is not None]
+            found: list = [None] * len(texts)
+            for lo in range(0, len(asked), batch):
+                client = client or opened()
+                some = asked[lo : lo + batch]
+                got = np.asarray(client([texts[i] for i in some]), np.float64)
+                if got.ndim != 2 or len(got) != len(some) or got.shape[1] != (length or got.shape[1]) or not np.isfinite(got).all():
+                    raise ValueError(f"{len(some)} texts gave vectors of shape {got.shape}")
+                length = got.shape[1]
+                for i, v in zip(some, got.tolist(), strict=True):
+                    found[i] = v
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in b.schema.names if c != out] + [pa.array(found, pa.list_(pa.float64()))], names=[c for c in b.schema.names if c != out] + [out])
+
+    kept = [f for f in schema.fields if f.name != out]
+    return rows.select(*(f.name for f in kept)).mapInArrow(run, T.StructType([*kept, schema[out]]))
+
+
+#: Rows of a table of vectors: seq orders the changes of an id, deleted marks one that is gone.
+VECTOR = "vec_id long, embedding array<double>, seq long, deleted boolean"
+
+
+def upserted(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """table (VECTOR) after changes (the same columns; deleted rows need no embedding): the newest row of each id. Markers
+    stay, so that an older change that comes later brings nothing back. Of equal seq, a deletion wins, then the larger
+    vector."""
+    every = table.unionByName(changes.select(*table.columns)).filter("vec_id is not null")
+    newest = F.max(F.struct("seq", "deleted", "embedding"))
+    return every.groupBy("vec_id").agg(newest.alias("n")).select("vec_id", F.when(~F.col("n.deleted"), F.col("n.embedding")).alias("embedding"), "n.seq", "n.deleted")
+
+
+def live(table: DataFrame) -> DataFrame:
+    """vec_id and embedding of what isn't deleted, for top_k and semantic_hits."""
+    return table.filter(~F.coalesce("deleted", F.lit(False))).select("vec_id", "embedding")

@@ -217,6 +217,23 @@ def vector_topk(spark, sf_dir):
     return vectors.top_k(rows, rows.filter("vec_id % 20 = 0"), 5)
 
 
+@query("""
+WITH c AS (
+  SELECT vec_id, embedding, 1 AS seq, FALSE AS deleted FROM embeddings
+  UNION ALL SELECT vec_id, NULL, 2, TRUE FROM embeddings WHERE vec_id % 3 = 0
+  UNION ALL SELECT vec_id, list_reverse(embedding), 3, FALSE FROM embeddings WHERE vec_id % 6 = 0
+  UNION ALL SELECT vec_id, embedding, 0, FALSE FROM embeddings WHERE vec_id % 9 = 0)
+SELECT DISTINCT ON (vec_id) vec_id, seq::BIGINT AS seq, deleted, round(embedding[1]::DOUBLE, 6) AS first FROM c ORDER BY vec_id, seq DESC""")
+def vector_table(spark, sf_dir):
+    """Vectors stored, a third deleted, half of these stored again, and old changes that come late."""
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    change = lambda df, seq, gone, v: df.select("vec_id", v.alias("embedding"), F.lit(seq).cast("long").alias("seq"), F.lit(gone).alias("deleted"))
+    v, none = F.col("embedding"), F.lit(None).cast("array<double>")
+    table = vectors.upserted(change(rows, 1, False, v), change(rows.filter("vec_id % 3 = 0"), 2, True, none))
+    table = vectors.upserted(table, change(rows.filter("vec_id % 6 = 0"), 3, False, F.reverse(v)).unionByName(change(rows.filter("vec_id % 9 = 0"), 0, False, v)))
+    return table.select("vec_id", "seq", "deleted", F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
+
+
 @query(f"""
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({_COS}, 6) AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s)
