@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.near_dup import settled
 from gristmill.operators.sequences import running_sums
 from gristmill.operators.usage import AXES, FIELDS, merged
 
@@ -30,7 +31,8 @@ def lines(chunks: DataFrame, by: str = "stream_id", order: str = "seq", chunk: s
 
 def events(chunks: DataFrame, by: str = "stream_id", order: str = "seq", chunk: str = "chunk") -> DataFrame:
     """by, at, data: the data lines of each stream, [DONE] and lines that are no JSON left out."""
-    found = lines(chunks, by, order, chunk).filter(F.col("line").startswith("data:"))
+    # Settled, so that what reads a line many times doesn't put it together as often.
+    found = settled(lines(chunks, by, order, chunk).filter(F.col("line").startswith("data:")))
     data = F.trim(F.substring("line", 6, 1 << 30))
     return found.select(by, "at", data.alias("data")).filter((F.col("data") != "[DONE]") & F.try_parse_json("data").isNotNull())
 
