@@ -41,8 +41,13 @@ def limited(calls: DataFrame, capacity: float, refill: float, client: str = "cli
     return rows.mapInPandas(fold, f"client {rows.schema['client'].dataType.simpleString()}, seq long, allowed boolean, tokens double")
 
 
-def limited_stream(calls: DataFrame, capacity: float, refill: float, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream of (client, seq, ts, cost); a client unheard of for idle_ms begins again, full."""
+def limited_stream(calls: DataFrame, capacity: float, refill: float, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """The same over a stream of (client, seq, ts, cost); a client unheard of for idle_ms begins again, full.
+
+    Spark runs batches without data as long as states may time out, so a query with trigger(availableNow=True) never
+    ends; None keeps states for good, and it does.
+    """
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -59,6 +64,7 @@ def limited_stream(calls: DataFrame, capacity: float, refill: float, idle_ms: in
                 left.append(tokens)
             yield pd.DataFrame({"client": frame["client"], "seq": frame["seq"], "allowed": allowed, "tokens": left})
         state.update((tokens, last))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return calls.groupBy("client").applyInPandasWithState(fold, f"client {calls.schema['client'].dataType.simpleString()}, seq long, allowed boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy("client").applyInPandasWithState(fold, f"client {calls.schema['client'].dataType.simpleString()}, seq long, allowed boolean, tokens double", "tokens double, last double", "append", timeout)

@@ -26,9 +26,11 @@ def running_costs(costs: DataFrame) -> DataFrame:
     return costs.groupBy("provider", "model").agg(F.count("*").alias("requests"), *(F.sum(a).alias(a) for a in AXES), F.round(F.sum("usd"), 6).alias("usd"))
 
 
-def sse_usage(chunks: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def sse_usage(chunks: DataFrame, idle_ms: int | None = 600_000) -> DataFrame:
     """AXES of each stream_id after each batch of its chunks (seq, chunk): the state is the unfinished line and the largest
-    numbers so far."""
+    numbers so far; it goes after idle_ms. None keeps it, for queries with trigger(availableNow=True): while states may time
+    out, Spark runs batches without data, and such a query never ends."""
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,9 +51,10 @@ def sse_usage(chunks: DataFrame, idle_ms: int = 600_000) -> DataFrame:
                             if isinstance(u, dict):
                                 most = [max(m, x) if isinstance(x := u.get(f), int) else m for m, f in zip(most, FIELDS, strict=True)]
         state.update((bytes(rest), *most))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([[key[0], *most]], columns=["stream_id", *AXES])
 
     numbers = ", ".join(f"{a} long" for a in AXES)
     kind = chunks.schema["stream_id"].dataType.simpleString()
-    return chunks.groupBy("stream_id").applyInPandasWithState(fold, f"stream_id {kind}, {numbers}", f"rest binary, {numbers}", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(fold, f"stream_id {kind}, {numbers}", f"rest binary, {numbers}", "update", timeout)

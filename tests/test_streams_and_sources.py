@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,10 @@ CHUNKS = [
 
 def run(stream, name, mode):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
     return stream.sparkSession.table(name).collect()
 
 
@@ -28,7 +32,7 @@ def test_sse_batch_and_stream(spark, tmp_path):
     got = {r.stream_id: (r.input_tokens, r.output_tokens) for r in sse.usage(df).collect()}
     assert got == {"a": (7, 9)}
     df.write.parquet(str(tmp_path / "in"))
-    rows = run(log_stream.sse_usage(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "sse", "update")
+    rows = run(log_stream.sse_usage(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), idle_ms=None), "sse", "update")
     assert {(r.stream_id, r.input_tokens, r.output_tokens) for r in rows} == {("a", 7, 9), ("b", 0, 0)}
 
 
@@ -37,10 +41,29 @@ def test_limits_batch_and_stream(spark, tmp_path):
     want = {0: True, 1: False, 2: True, 3: True, 4: True}
     assert {r.seq: r.allowed for r in limits.limited(calls, 3, 0.1).collect()} == want
     calls.write.parquet(str(tmp_path / "in"))
-    rows = run(limits.limited_stream(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in")), 3.0, 0.1), "limits", "append")
+    rows = run(limits.limited_stream(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in")), 3.0, 0.1, idle_ms=None), "limits", "append")
     assert {r.seq: r.allowed for r in rows} == want
 
 
+def test_idle_states_go(spark, tmp_path):
+    calls = lambda *rows: spark.createDataFrame(rows, "client string, seq long, ts double, cost int")
+    calls(("x", 0, 0.0, 3)).write.parquet(str(tmp_path / "in"))
+    stream = limits.limited_stream(spark.readStream.schema(calls().schema).parquet(str(tmp_path / "in")), 3.0, 0.0, idle_ms=1)
+    q = stream.writeStream.format("memory").queryName("idle").outputMode("append").start()
+    told = lambda: {r.seq: r.allowed for r in spark.table("idle").collect()}
+    try:
+        for seq, wait in ((0, 2), (1, 0)):
+            end = time.time() + 60
+            while seq not in told() and time.time() < end:
+                time.sleep(0.2)
+            time.sleep(wait)  # batches without data run meanwhile, and the state times out
+            if seq == 0:
+                calls(("x", 1, 0.0, 3)).write.mode("append").parquet(str(tmp_path / "in"))
+        assert told() == {0: True, 1: True}
+    finally:
+        q.stop()
+
+
 def test_minute_stream(spark, tmp_path):
     df = spark.sql("SELECT timestamp'2024-01-01 00:00:10' + make_interval(0,0,0,0,0,i) AS ts, cast(i AS double) * 100 AS ms FROM range(3) AS t(i)")
     df.write.parquet(str(tmp_path / "in"))
