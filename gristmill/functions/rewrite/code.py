@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 # Languages by the way they mark comments.
 HASH = {"python", "py", "ruby", "rb", "yaml", "yml", "sh", "bash", "zsh", "shell", "perl", "r", "toml"}
@@ -12,21 +13,31 @@ SLASHES = {
 }
 MARKS = {x: (("#",), False) for x in HASH} | {x: (("//",), True) for x in SLASHES} | {"ini": (("#", ";"), False), "php": (("//", "#"), True)}
 DOCSTRING = re.compile(r"""(?m)^([ \t]*(?:async[ \t]+)?(?:def|class)\b[^\n]*:[ \t]*\n)(?:[ \t]*\n)*[ \t]*(\"\"\"|''')[\s\S]*?\2[^\n]*(?:\n|\Z)""")
-FENCE = re.compile(r"(```)([^\n`]*)(\n)(.*?)(?=```)", re.S)
+#: A fence's first line, its language, what it holds, its last line. A fence that isn't closed is none.
+FENCE = re.compile(r"(?ms)^([^\S\n]*```(\S*)[^\S\n]*\n)(.*?)(^[^\S\n]*```\S*[^\S\n]*$)")
+# Fixed value: what counts as a path.
 PATH = re.compile(r"(?:[A-Za-z]:)?(?:/[\w.\- ]+){2,}")
 
 
-def in_string(before: str) -> bool:
-    """An odd number of some quote character, escaped ones aside, stands before."""
-    return any((before.count(q) - before.count("\\" + q)) % 2 for q in "\"'`")
+@cache
+def lexer(marks: tuple[str, ...], blocks: bool) -> re.Pattern:
+    """Literals (one that isn't closed goes to the end of its line), comments in pairs of marks, comments up to the end."""
+    literal = "|".join(rf"{q}(?:\\.|[^{q}\\])*(?:{q}|\\?$)" for q in "\"'`")
+    tail = "|".join(r"(?<!:)//" if mark == "//" else re.escape(mark) for mark in marks)  # not the // of a URL
+    return re.compile(f"(?P<literal>{literal})|" + (r"(?P<block>/\*.*?\*/)|" if blocks else "") + f"(?P<tail>{tail})")
 
 
-def without_tail(line: str, marks: tuple[str, ...], blocks: bool) -> str:
-    """line without block comments that begin and end in it, and without the comment at its end."""
-    if blocks:
-        line = re.sub(r"/\*.*?\*/", lambda m: m[0] if in_string(line[: m.start()]) else "", line)
-    starts = [m.start() for mark in marks for m in re.finditer(re.escape(mark), line) if not in_string(line[: m.start()]) and not (mark == "//" and line[m.start() - 1 : m.start()] == ":")]
-    return line[: min(starts)].rstrip() if starts else line
+def bare(line: str, marks: tuple[str, ...], blocks: bool) -> str:
+    """line without the comments in it; what stands in literals is none."""
+    kept, at = [], 0
+    for m in lexer(marks, blocks).finditer(line):
+        if m.lastgroup == "literal":
+            continue
+        kept.append(line[at : m.start()])
+        if m.lastgroup == "tail":
+            return "".join(kept).rstrip()
+        at = m.end()
+    return "".join(kept) + line[at:]
 
 
 def comment_strip(text: str, level: str) -> tuple[str, str]:
@@ -35,28 +46,24 @@ def comment_strip(text: str, level: str) -> tuple[str, str]:
 
     def fence(m: re.Match) -> str:
         nonlocal gone
-        name = re.split(r"[\s,{]", m[2].strip().lower(), maxsplit=1)[0]
-        if name not in MARKS:
+        language = re.split("[,{]", m[2].lower(), maxsplit=1)[0]
+        if language not in MARKS:
             return m[0]
-        marks, blocks = MARKS[name]
-        body = m[4]
+        marks, blocks = MARKS[language]
+        body = m[3]
         if level == "aggressive":
-            body = re.sub(r"/\*[\s\S]*?\*/", "", body) if blocks else body
-            body = DOCSTRING.sub(r"\1", body) if name in ("python", "py") else body
-        kept = []
-        for line in body.split("\n"):
-            bare = line.strip()
-            whole = bare.startswith(marks) or blocks and bare.startswith("/*") and bare.endswith("*/")
-            if bare.startswith("#!"):
-                kept.append(line)
-            elif not whole:
-                kept.append(line if level == "lite" else without_tail(line, marks, blocks))
-        new = "\n".join(kept)
-        gone += new != m[4]
-        return m[1] + m[2] + m[3] + new
+            body = re.sub(r"(?s)/\*.*?\*/", "", body) if blocks else body
+            body = DOCSTRING.sub(r"\1", body) if language in ("python", "py") else body
+        whole = re.compile("(?!#!)(?:" + "|".join(map(re.escape, marks)) + (r"|/\*.*\*/$" if blocks else "") + ")")
+        kept = [x for x in body.removesuffix("\n").split("\n") if not whole.match(x.strip())]
+        if level != "lite":
+            kept = [x if x.lstrip().startswith("#!") else bare(x, marks, blocks) for x in kept]
+        new = "\n".join(kept) + "\n"
+        gone += m[3].count("\n") - new.count("\n")
+        return m[1] + new + m[4]
 
     new = FENCE.sub(fence, text) if "```" in text else text
-    return new, f"stripped {gone} blocks" if gone else ""
+    return new, f"stripped {gone} comment lines" if gone else ""
 
 
 def path_collapse(text: str, level: str) -> tuple[str, str]:

@@ -20,7 +20,9 @@ FRAMES = [
     re.compile(r"^\s*at\s+(?P<file>[^():\s]+):(?P<line>\d+)(?::\d+)?\s*$"),
     re.compile(r"^\s*\d+:\s+(?P<func>[\w:<>$]+(?:::[\w:<>$]+)*)\s*$"),
 ]
-NOTE = re.compile(r"^\s*\[\.\.\..*frames?.*\.\.\.\]\s*$")
+#: What stack_trace writes in place of frames; such lines stay when a text comes again.
+EQUAL, NEAR, OMITTED = "[... {} identical frames collapsed ...]", "[... {} similar frames in {}() at {} collapsed ...]", "[... {} frames omitted; truncated trace ...]"
+NOTE = re.compile(r"\s*(?:" + "|".join(re.escape(x).replace(r"\{\}", ".*") for x in (EQUAL, NEAR, OMITTED)) + r")\s*")
 
 
 def log_collapse(text: str, level: str) -> tuple[str, str]:
@@ -66,7 +68,7 @@ def _units(lines: list[str]) -> list[Unit]:
     units: list[Unit] = []
     for line in lines:
         last = units[-1] if units else None
-        if NOTE.match(line) and not (last and last.kind == "frame" and len(last.lines) == 1 and depth(line) > depth(last.lines[0])):
+        if NOTE.fullmatch(line) and not (last and last.kind == "frame" and len(last.lines) == 1 and depth(line) > depth(last.lines[0])):
             units.append(Unit("note", [line]))
         elif (place := _frame(line)) is not None:
             units.append(Unit("frame", [line], place))
@@ -87,9 +89,9 @@ def stack_trace(text: str, level: str) -> tuple[str, str]:
         near = list(takewhile(lambda u: u.kind == "frame" and u.place[:2] == head.place[:2], rest))
         n = 1
         if head.kind == "frame" and len(equal) >= same:
-            n, note = len(equal), f"[... {len(equal)} identical frames collapsed ...]"
+            n, note = len(equal), EQUAL.format(len(equal))
         elif head.kind == "frame" and alike and len(near) >= alike:
-            n, note = len(near), f"[... {len(near)} similar frames in {head.place[1]}() at {head.place[0]} collapsed ...]"
+            n, note = len(near), NEAR.format(len(near), head.place[1], head.place[0])
         else:
             note = None
         out += head.lines if note is None else [note]
@@ -101,7 +103,7 @@ def stack_trace(text: str, level: str) -> tuple[str, str]:
             block = list(group)
             if not plain and len(block) > 5:
                 cut += len(block) - 3
-                block[2:-1] = [Unit("note", [f"[... {len(block) - 3} frames omitted; truncated trace ...]"])]
+                block[2:-1] = [Unit("note", [OMITTED.format(len(block) - 3)])]
             out += [x for u in block for x in u.lines]
     notes = [f"collapsed {gone} frames"] * bool(gone) + [f"truncated {cut} frames"] * bool(cut)
     return "\n".join(out), "; ".join(notes)

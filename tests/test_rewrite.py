@@ -28,6 +28,11 @@ CASES = [
     ("comment_strip", "lite", "```python\n# gone\nx = 1  # stays\n```", "```python\nx = 1  # stays\n```"),
     ("comment_strip", "standard", '```js\nlet u = "http://a"; // gone\n```', '```js\nlet u = "http://a";\n```'),
     ("comment_strip", "aggressive", '```python\ndef f():\n    """Doc.\n    More."""\n    return 1\n```', "```python\ndef f():\n    return 1\n```"),
+    ("comment_strip", "standard", "```py\ns = 'a # b' # gone\nt = \"it's\" # gone\nu = \"\\\"#\" # gone\n```", "```py\ns = 'a # b'\nt = \"it's\"\nu = \"\\\"#\"\n```"),
+    ("comment_strip", "standard", "```js\na /* b */ + c; // see http://d\nurl = http://e\n#!run\n```", "```js\na  + c;\nurl = http://e\n#!run\n```"),
+    ("comment_strip", "standard", "see ```py # stays``` here\n```py\n# open", "see ```py # stays``` here\n```py\n# open"),
+    ("comment_strip", "lite", "```ini\n; gone\na = 1 ; stays\n  ```\n# stays\n```\n# no language\n```", "```ini\na = 1 ; stays\n  ```\n# stays\n```\n# no language\n```"),
+    ("caveman", "aggressive", "the function(my_var), (function) of the parameters.", " function(my_var), (fn) of params."),
     ("path_collapse", "aggressive", f"{LONG}\n{LONG}\n{LONG}", f"Path aliases: <P1>={LONG}\n{LONG}\n<P1>\n<P1>"),
 ]
 
@@ -38,6 +43,14 @@ def test_engine(name, level, text, want):
     assert rewrite_text(name, text, "off") == (text, "")
 
 
+@pytest.mark.parametrize("level", ["lite", "standard", "aggressive"])
+def test_traces_shortened_before_stay(level):
+    deep = "\n".join(["Traceback"] + [x for i in range(40) for x in (f'  File "m{i}.py", line {i}, in f{i % 7}', "    go()")] + ["Error"])
+    for text in (TRACE, deep, deep + "\n" + TRACE):
+        once = rewrite_text("stack_trace", text, level)[0]
+        assert rewrite_text("stack_trace", once, level)[0] == once
+
+
 def test_unknown_level():
     with pytest.raises(ValueError):
         rewrite_text("rtk", "x", "ultra")
