@@ -11,57 +11,97 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Queries up to this number are broadcast (they are counted); more are dealt into blocks, each against all vectors.
-BLOCK = 1000
+#: Queries up to this number are sent to the vectors (they are counted); more are dealt to shards of vectors.
+FEW = 1000
+SHARD = 65_536  #: vectors of a shard, about
+CELLS = 1 << 22  #: similarities held at a time
 
 
-def _units(vectors: list[list[float]]) -> np.ndarray:
-    """The rows scaled to length 1; a zero row stays zero."""
-    m = np.array(vectors, np.float64)
-    norms = np.sqrt((m * m).sum(1, keepdims=True))
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+def sharded(rows: DataFrame, asked: DataFrame, shards: int, opened: Callable[[pa.Table], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
+    """What a search gives for all queries (asked: id, v) in every shard of the vectors (rows: the same columns).
+
+    Vectors are dealt by their id's hash, once; queries go to each shard. A task has a shard's vectors first, calls opened
+    with them once, and streams the queries through what that gives: it holds a shard, and never all queries.
+    """
+    held = rows.select("id", "v", F.lit(False).alias("asked"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+    sent = asked.select("id", "v", F.lit(True).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    dealt = held.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "asked")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, search = None, [], None
+        for b in batches:
+            shard, kind = b.column("shard").to_numpy(), b.column("asked").to_numpy(zero_copy_only=False).astype(np.int8)
+            begun = np.flatnonzero(np.diff(2 * shard.astype(np.int64) + kind, prepend=-1)) if len(shard) else []
+            for lo, hi in zip(begun, [*begun[1:], len(shard)], strict=True):
+                if shard[lo] != at:
+                    at, parts, search = shard[lo], [], None
+                part = b.slice(lo, hi - lo)
+                if kind[lo]:
+                    search = search or opened(pa.Table.from_batches(parts, b.schema))
+                    parts = []
+                    yield from search(part)
+                else:
+                    parts.append(part)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _by_length(vectors: list[list[float] | None]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and rows, scaled to length 1 (a zero row stays zero), of the vectors of each length; null has length 0."""
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        places.setdefault(len(v or []), []).append(i)
+    out = {}
+    for n, at in places.items():
+        m = np.array([vectors[i] or [] for i in at], np.float64).reshape(len(at), n)
+        norms = np.sqrt((m * m).sum(1, keepdims=True))
+        out[n] = np.array(at), np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+    return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _best(names: np.ndarray, asked: dict, ids: np.ndarray, held: dict, k: int) -> Iterator[pa.RecordBatch]:
+    """query_id, id and sim of what may be among the k best of each query; rounding comes later, so near ties stay."""
+    step = max(1, CELLS // max(1, len(ids)))
+    for n, (places, units) in asked.items():
+        for lo in range(0, len(places), step):
+            sims = np.zeros((len(places[lo : lo + step]), len(ids)))
+            if n and n in held:
+                fit, rows = held[n]
+                sims[:, fit] = units[lo : lo + step] @ rows.T
+            least = np.partition(sims, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(sims), -np.inf)
+            q, i = np.nonzero(sims >= least[:, None] - 2e-6)
+            yield pa.RecordBatch.from_arrays([pa.array(names[places[lo : lo + step]][q], pa.int64()), pa.array(ids[i], pa.int64()), pa.array(sims[q, i])], names=["query_id", "id", "sim"])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", few: int = FEW, shard: int = SHARD) -> DataFrame:
     """query_id, id, sim, rank: the k vectors with the largest cosine for each query, ties to the smaller id.
 
-    Every BLOCK queries (bounded) are sent to the tasks, which score their vectors by a matrix product and keep the k best
-    for each query, so that the shuffle has k rows for a query and batch. Vectors that are null or of another length than a
-    query's have cosine 0 with it, as have zero vectors.
+    Up to `few` queries go to the tasks, and no vector is shuffled; for more, see sharded(). Both score by matrix products
+    and keep the k best of a batch or shard for each query. Vectors that are null or of another length than a query's have
+    cosine 0 with it, as have zero vectors; queries without an id have no result, nor are vectors without one found.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
+    clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
+    rows, asked = clean(vectors), clean(queries)
+    schema, best = "query_id long, id long, sim double", Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
+    numbers = lambda x: x.to_numpy(zero_copy_only=False) if isinstance(x, pa.Array) else x.to_numpy()
 
-    def searched(part: DataFrame) -> DataFrame:
-        held = part.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q")).collect()
-        by_length: dict[int, list] = {}
-        for r in held:
-            by_length.setdefault(len(r["q"] or []), []).append(r)
-        known = [(n, [r["query_id"] for r in rs], _units([r["q"] for r in rs]) if n else np.zeros((len(rs), 0))) for n, rs in by_length.items()]
+    sent = asked.limit(few + 1).collect()
+    if len(sent) <= few:
+        names, sides = np.array([r["id"] for r in sent], np.int64), _by_length([r["v"] for r in sent])
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, found = b.column("id").to_pylist(), b.column("v").to_pylist()
-                for n, names, units in known:
-                    sims = np.zeros((len(names), len(ids)))
-                    fit = [i for i, v in enumerate(found) if n and v is not None and len(v) == n]
-                    if fit:
-                        sims[:, fit] = units @ _units([found[i] for i in fit]).T
-                    # Rounding comes later: what may tie with the k-th is kept.
-                    least = np.partition(sims, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(names), -np.inf)
-                    q, i = np.nonzero(sims >= least[:, None] - 2e-6)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], pa.int64()), pa.array([ids[x] for x in i], pa.int64()), pa.array(sims[q, i])], names=["query_id", "id", "sim"])
-
-        scored = rows.mapInArrow(run, "query_id long, id long, sim double").withColumn("sim", F.round("sim", 6))
-        return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-    blocks = max(1, -(-asked.count() // BLOCK))
-    out = None
-    for i in range(blocks):
-        found = searched(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked)
-        out = found if out is None else out.unionByName(found)
-    return out
+                yield from _best(names, sides, numbers(b.column("id")), _by_length(b.column("v").to_pylist()), k)
+
+        scored = rows.mapInArrow(run, schema)
+    else:
+
+        def opened(t: pa.Table) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+            ids, held = numbers(t.column("id")), _by_length(t.column("v").to_pylist())
+            return lambda b: _best(numbers(b.column("id")), _by_length(b.column("v").to_pylist()), ids, held, k) if len(ids) else iter(())
+
+        scored = sharded(rows, asked, max(1, -(-rows.count() // shard)), opened, schema)
+    return scored.withColumn("sim", F.round("sim", 6)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def semantic_hits(vectors: DataFrame, queries: DataFrame, threshold: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 
 from gristmill.functions import sketch
@@ -38,6 +39,23 @@ def test_deleted_ids_are_not_found(spark):
     assert vectors.live(vectors.upserted(table, row((1, [1.0, 0.0], 3, False)))).count() == 3
 
 
+@pytest.mark.parametrize("few,shard", [(1000, 1), (5, 16), (5, 1000), (0, 7)])
+def test_top_k_against_all_pairs(spark, few, shard):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3 if i % 4 else 2)], "x") for i in range(120)] + [(200, None, "x"), (201, [], "x"), (None, [1.0, 1.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string")
+
+    def cosine(x, y):
+        x, y = np.array(x or []), np.array(y or [])
+        return 0.0 if len(x) != len(y) or not len(x) or not x.any() or not y.any() else round(float(x @ y / np.sqrt((x @ x) * (y @ y))), 6)
+
+    asked = [r for r in rows if r[0] is not None and (r[0] % 3 == 0 or r[0] >= 200)]
+    want = {(q, i, n + 1) for q, v, _ in asked for n, (_, i) in enumerate(sorted((-cosine(v, w), j) for j, w, _ in rows if j is not None)[:4])}
+    got = vectors.top_k(df, df.filter("vec_id % 3 = 0 or vec_id >= 200 or vec_id is null"), 4, few=few, shard=shard).collect()
+    assert {(r.query_id, r.id, r["rank"]) for r in got} == want and len(got) == len(want)
+    assert vectors.top_k(df.limit(0), df, 4, few=few, shard=shard).count() == 0 == vectors.top_k(df, df.limit(0), 4, few=few, shard=shard).count()
+
+
 @pytest.mark.parametrize("most", [0, 1, 3])
 def test_simhash_pairs_against_all_pairs(spark, most):
     words = "alpha beta gamma delta epsilon zeta eta theta".split()
