@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a vantage-point tree per shard.
 
-Vectors are dealt into shards of bounded size by a hash, queries into blocks, and every pair of a shard and a block is a
-task's work: it builds the shard's tree and walks it with all queries of the block at once. A subtree is left out for a
+Vectors are dealt into shards of bounded size by a hash, once, and queries go to every shard: a task builds a shard's tree
+once and streams the queries through it, walking it with a block of them at a time. A subtree is left out for a
 query when factor times the triangle inequality's lower bound is above the distance of its k-th nearest so far; factor
 1 leaves out only what can't hold a nearer vector, so the search is exact; a larger factor leaves out more. The shards'
 k nearest are merged by rank. Distances are Euclidean, in double precision, on the original vectors.
@@ -13,17 +13,20 @@ no part; ties go to the smaller id; with fewer than k candidates all are returne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators.vectors import sharded
+
 SHARD = 8192  #: vectors of a shard, about
-BLOCK = 2048  #: queries of a block, about
+BLOCK = 2048  #: queries of a block, at most
 LEAF = 256
 NO_ID = np.iinfo(np.int64).max
 FACTOR = 1.3
@@ -116,27 +119,28 @@ def usable(vector: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors (but the one with the query's id) of each query."""
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), usable(F.col(vector_col)).alias("v")).dropna().groupBy("id").agg(F.min("v").alias("v"))
-    all_rows, asked = clean(vectors), clean(queries)
-    shards, blocks = (max(1, ceil(df.agg(F.count(id_col)).first()[0] / n)) for df, n in ((vectors, shard), (queries, block)))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = all_rows.select("id", "v", F.size("v").alias("dim"), part(shards).alias("shard"), every(blocks).alias("block"))
-    right = asked.select("id", "v", F.size("v").alias("dim"), every(shards).alias("shard"), part(blocks).alias("block"))
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = t.column("id").to_numpy()
-        return ids, np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("v").chunks] or [np.zeros(0)]).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-
-    def one(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        (ids, held), (own, q) = matrix(rows), matrix(queries)
-        if not len(ids) or not len(own):
-            found = (np.zeros((0, k)), np.zeros((0, k), dtype=np.int64))
-        else:
-            found = VpTree(ids, held).search(q, own, k, factor)
-        real = np.isfinite(found[0])
-        return pa.table({"query_id": np.repeat(own, k).reshape(-1, k)[real] if len(real) else np.zeros(0, np.int64), "vec_id": found[1][real], "score": found[0][real]})
-
-    keys = ("dim", "shard", "block")
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(one, "query_id long, vec_id long, score double")
+    shards = max(1, ceil(vectors.agg(F.count(id_col)).first()[0] / shard))
+
+    def by_length(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, ids and vectors of each length."""
+        lengths = pc.list_value_length(t.column("v"))
+        for n in pc.unique(lengths).to_pylist():
+            same = t.filter(pc.equal(lengths, n))
+            yield n, same.column("id").to_numpy(), pc.list_flatten(same.column("v")).to_numpy().reshape(-1, n)
+
+    def opened(t: pa.Table) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        trees = {n: VpTree(ids, held) for n, ids, held in by_length(t)}
+
+        def search(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for n, every, held in by_length(pa.Table.from_batches([b])):
+                for lo in range(0, len(every) if n in trees else 0, block):
+                    own = every[lo : lo + block]
+                    d, names = trees[n].search(held[lo : lo + block], own, k, factor)
+                    real = np.isfinite(d)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, k).reshape(-1, k)[real]), pa.array(names[real]), pa.array(d[real])], names=["query_id", "vec_id", "score"])
+
+        return search
+
+    pairs = sharded(clean(vectors), clean(queries), shards, opened, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
