@@ -48,8 +48,7 @@ def _hashes28(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:4] for d in digests), ">u4").astype(np.int64) >> 4
 
 
-def minhash(text: Column, perms: int = 32, width: int = 5) -> Column:
-    """Minima of (a h + b) mod 2^31 - 1 over the word shingles' hashes h; null for a text without words."""
+def _minima(perms: int) -> Callable[[list[bytes]], list[int]]:
     p = np.arange(1, perms + 1, dtype=np.int64)
     times, plus = p * MULTIPLIER % PRIME, p * STEP
 
@@ -60,7 +59,12 @@ def minhash(text: Column, perms: int = 32, width: int = 5) -> Column:
             minima = np.minimum(minima, ((hashes[i : i + 4096, None] * times + plus) % PRIME).min(0))
         return minima.tolist()
 
-    return F.when(F.size(words(text)) > 0, _per_words("array<bigint>", width, of)(text))
+    return of
+
+
+def minhash(text: Column, perms: int = 32, width: int = 5) -> Column:
+    """Minima of (a h + b) mod 2^31 - 1 over the word shingles' hashes h; null for a text without words."""
+    return F.when(F.size(words(text)) > 0, _per_words("array<bigint>", width, _minima(perms))(text))
 
 
 def bands(signature: Column, n_bands: int, rows: int) -> Column:
@@ -170,16 +174,25 @@ def projection_blake2b(parts: Column, seed: str, dims: int = 512) -> Column:
     return _per_list("array<double>", lambda found: signed_projection(found, seed, dims))(parts)
 
 
-def projection(text: Column, dims: int = 64, width: int = 5) -> Column:
-    """The same with md5 hashes."""
-
+def _signed(dims: int) -> Callable[[list[bytes]], list[float]]:
     def of(digests: list[bytes]) -> list[float]:
         hashes = _hashes28(digests)
         v = np.bincount(hashes % dims, weights=np.where(hashes // dims % 2 == 1, 1.0, -1.0), minlength=dims)
         norm = math.sqrt(float((v * v).sum()))
         return (v / norm if norm > 0 else v * 0.0).tolist()
 
-    return _per_words("array<double>", width, of)(text)
+    return of
+
+
+def projection(text: Column, dims: int = 64, width: int = 5) -> Column:
+    """Signed projection with md5 hashes."""
+    return _per_words("array<double>", width, _signed(dims))(text)
+
+
+def projection_and_minhash(text: Column, dims: int = 64, perms: int = 32, width: int = 5) -> Column:
+    """struct v, sig of both, for which shingles are hashed once; sig is null for a text without words."""
+    signed, minima = _signed(dims), _minima(perms)
+    return _per_words("struct<v array<double>, sig array<bigint>>", width, lambda digests: {"v": signed(digests), "sig": minima(digests) if digests else None})(text)
 
 
 def pseudo_embedding(text: Column, dim: int = 3072, width: int = 4) -> Column:

@@ -91,15 +91,17 @@ def projection_nearest(docs: DataFrame, group_col: str = "source", id_col: str =
     projections, ties to the earlier; none: null and -1.
 
     Groups of fewer than scan_below texts before it are compared whole, as they are small; in others, texts meet if a
-    band of their MinHashes is equal.
+    band of their MinHashes is equal. Texts of a null group have none.
     """
     long = docs.filter(F.length(text_col) >= least_chars)
-    rows = long.select(F.col(group_col).alias("grp"), F.col(id_col).alias("id"), sketch.projection(F.col(text_col), dims).alias("v"), sketch.minhash(F.col(text_col)).alias("sig"))
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("grp").orderBy("id")) - 1)
-    keyed = rows.select("grp", "id", "seq", F.posexplode(sketch.bands(F.col("sig"), n_bands, 32 // n_bands)).alias("band", "key"))
-    by_band = keyed.filter(F.col("seq") >= scan_below).select("grp", "band", "key", F.col("id").alias("b"), F.col("seq").alias("seq_b")).join(keyed.select("grp", "band", "key", F.col("id").alias("a"), "seq"), ["grp", "band", "key"]).filter("seq < seq_b").select("a", "b")
-    first = rows.filter(F.col("seq") < scan_below).select("grp", F.col("id").alias("a"), "seq")
-    scanned = first.join(first.select("grp", F.col("a").alias("b"), F.col("seq").alias("seq_b")), "grp").filter("seq < seq_b").select("a", "b")
+    # Settled, as many joins read the sketches.
+    rows = settled(long.select(F.col(group_col).alias("grp"), F.col(id_col).alias("id"), sketch.projection_and_minhash(F.col(text_col), dims).alias("both")).select("grp", "id", "both.*"))
+    # The first texts of a group by a limit for each group, which tasks apply before the shuffle: no task numbers a group.
+    first = rows.select("grp", "id").withColumn("seq", F.row_number().over(Window.partitionBy("grp").orderBy("id"))).filter(F.col("seq") <= scan_below).select("grp", F.col("id").alias("a"))
+    keyed = rows.select("grp", "id", F.posexplode(sketch.bands(F.col("sig"), n_bands, 32 // n_bands)).alias("band", "key"))
+    later = keyed.join(first.select(F.col("a").alias("id")), "id", "left_anti").withColumnRenamed("id", "b")
+    by_band = later.join(keyed.withColumnRenamed("id", "a"), ["grp", "band", "key"]).filter("a < b").select("a", "b")
+    scanned = first.join(first.withColumnRenamed("a", "b"), "grp").filter("a < b").select("a", "b")
     pairs = by_band.unionByName(scanned).distinct()
     scored = pairs.join(rows.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("y")), "b").select("a", "b", F.round(sketch.dot(F.col("x"), F.col("y")), 6).alias("score"))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("score"), "a"))).filter("r = 1")

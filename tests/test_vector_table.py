@@ -67,3 +67,23 @@ def test_simhash_pairs_against_all_pairs(spark, most):
     hashes.pop(0, None)
     want = {(min(i, j), max(i, j), bin((g ^ h) & (1 << 64) - 1).count("1")) for g, i in hashes.items() for h, j in hashes.items() if i != j}
     assert {tuple(r) for r in near_dup.simhash_pairs(df, most=most).collect()} == {w for w in want if w[2] <= most}
+
+
+def test_nearest_earlier_text_of_a_group(spark):
+    rng = np.random.default_rng(8)
+    base = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"], 30)) for _ in range(12)]
+    near = lambda i: base[i % 12][: -3 * (i % 4) or None] + (" zz" if i % 5 == 0 else "")
+    rows = [(i, "big" if i % 3 else "small" if i < 30 else None, near(i), 0) for i in range(90)] + [(100, "big", " " * 90, 0), (101, "big", "short", 0), (102, "big", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, v int")
+    made = {r.doc_id: r for r in df.filter("length(text) >= 50").select("doc_id", "source", sketch.projection(df.text).alias("p"), sketch.minhash(df.text).alias("sig")).collect()}
+    groups: dict = {}
+    for i in sorted(made):
+        groups.setdefault(made[i].source, []).append(i)
+    want = {}
+    for source, ids in groups.items():
+        for n, i in enumerate(ids):
+            bands = lambda s: {(b, *s[2 * b : 2 * b + 2]) for b in range(16)} if s else set()
+            met = [j for m, j in enumerate(ids[:n]) if source and (n < 10 or bands(made[i].sig) & bands(made[j].sig))]
+            want[i] = max(((round(float(np.dot(made[i].p, made[j].p)), 6), -j) for j in met), default=(-1.0, None))
+    got = {r.id: (r.score, None if r.nearest is None else -r.nearest) for r in near_dup.projection_nearest(df, least_chars=50, scan_below=10).collect()}
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 2e-6 for i in want)
