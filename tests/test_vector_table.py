@@ -87,3 +87,33 @@ def test_nearest_earlier_text_of_a_group(spark):
             want[i] = max(((round(float(np.dot(made[i].p, made[j].p)), 6), -j) for j in met), default=(-1.0, None))
     got = {r.id: (r.score, None if r.nearest is None else -r.nearest) for r in near_dup.projection_nearest(df, least_chars=50, scan_below=10).collect()}
     assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 2e-6 for i in want)
+
+
+@pytest.mark.parametrize("common", [0, 2, 256])
+def test_exact_nearest_against_all_pairs(spark, common):
+    """Equal sets, common passages (alone and with rarer text), near copies, texts that share nothing, queries from elsewhere."""
+    rng = np.random.default_rng(5)
+    says = lambda n: " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"], n))
+    passages, bases = [says(9), says(12)], [says(25) for _ in range(4)]
+    rows = [(i, [says(4 + i % 9) + " " + passages[i % 2], bases[i % 4] + " x" * (i % 3), bases[i % 4][: 30 + i], passages[i % 2], f"only {i}"][i % 5]) for i in range(90)] + [(100, ""), (101, None), (102, "!!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = df.filter("doc_id % 3 = 0").unionByName(spark.createDataFrame([(200, bases[0]), (201, passages[1] + " zz")], df.schema))
+
+    def sets(said):
+        words = (said or "").replace("!", "").split()
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    want = {}
+    for q, said in ((r.doc_id, r.text) for r in asked.collect()):
+        mine = sets(said)
+        met = [(len(mine & y) / len(mine | y), -i) for i, other in rows if i != q and mine & (y := sets(other))]
+        if met:
+            want[q] = max(met)
+    got = near_dup.exact_nearest(df, asked, common=common).collect()
+    assert {r.query_id: (r.sim, -r.id) for r in got} == want and len(got) == len(want)
+
+
+def test_exact_nearest_shuffles_no_shingle_that_no_query_has(spark):
+    found = spark.createDataFrame([([1, 2, (1 << 40) + 3],), ([],), ([5],)], "s array<long>").coalesce(1)
+    table = spark.sparkContext.broadcast(near_dup._table(spark.createDataFrame([(1,), (3,), (5,), (-1,)], "g long")))
+    assert [r.s for r in found.select(near_dup._in_table(found.s, table).alias("s")).collect()] == [[1, (1 << 40) + 3], [], [5]]
