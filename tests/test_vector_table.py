@@ -1,9 +1,11 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from gristmill.functions import sketch
+from gristmill.functions import json_edit, sketch
 from gristmill.operators import near_dup, vectors
 
 
@@ -117,3 +119,25 @@ def test_exact_nearest_shuffles_no_shingle_that_no_query_has(spark):
     found = spark.createDataFrame([([1, 2, (1 << 40) + 3],), ([],), ([5],)], "s array<long>").coalesce(1)
     table = spark.sparkContext.broadcast(near_dup._table(spark.createDataFrame([(1,), (3,), (5,), (-1,)], "g long")))
     assert [r.s for r in found.select(near_dup._in_table(found.s, table).alias("s")).collect()] == [[1, (1 << 40) + 3], [], [5]]
+
+
+def test_sketches_are_made_once(spark):
+    """The plans of the members and pairs read written sketches: no Python is left in them."""
+    docs = spark.createDataFrame([(i, f"some words of text {i % 3} and more of them") for i in range(9)], "doc_id long, text string")
+    for made in (near_dup.signature_members(docs), near_dup.simhash_members(docs), near_dup.near_duplicates(docs), near_dup.simhash_pairs(docs)):
+        assert "ArrowEvalPython" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shingle_hashes(spark):
+    said = ["a b c d e f", "A b  c d e, f", "b a c d e f", "a b c", "a bc", "ab c", "c b a", "a b c d e f a b c d e", "", None, "K", "k", "é a b", "x" * 3000, "x" * 1976 + "y" + "x" * 1023]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in said], "t string").select(sketch.shingle_hashes(F.col("t")).alias("s")).collect()]
+    assert [len(s) for s in got] == [2, 2, 2, 1, 1, 1, 1, 6, 0, 0, 1, 1, 1, 1, 1] and all(s == sorted(set(s)) for s in got)
+    assert got[0] == got[1] and got[10] == got[11] and set(got[0]) < set(got[7])
+    assert len({*got[0], *got[2], *got[3], *got[4], *got[5], *got[6], *got[10], *got[12], *got[13], *got[14]}) == 2 + 2 + 8
+
+
+def test_edits_hold_some_rows_of_a_batch(spark):
+    batch = pa.RecordBatch.from_pylist([{"id": i, "payload": f'{{"a": "{i}"}}', "edits": [{"path": "a", "kind": "text", "text": "x"}] if i % 2 else None} for i in range(1001)])
+    out = list(json_edit.edit_batches([batch]))
+    assert max(b.num_rows for b in out) == json_edit.ROWS
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(i, '{"a": "x"}' if i % 2 else f'{{"a": "{i}"}}') for i in range(1001)]
