@@ -71,6 +71,13 @@ def test_simhash_pairs_against_all_pairs(spark, most):
     assert {tuple(r) for r in near_dup.simhash_pairs(df, most=most).collect()} == {w for w in want if w[2] <= most}
 
 
+def test_simhash_pairs_broadcasts_no_keys(spark):
+    """The keys are twenty times the hashes, whose file is small: nothing is collected to the driver to be broadcast."""
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7} and more of them") for i in range(50)], "doc_id long, text string")
+    plan = near_dup.simhash_pairs(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_nearest_earlier_text_of_a_group(spark):
     rng = np.random.default_rng(8)
     base = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"], 30)) for _ in range(12)]
