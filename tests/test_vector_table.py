@@ -122,6 +122,29 @@ def test_exact_nearest_against_all_pairs(spark, common):
     assert {r.query_id: (r.sim, -r.id) for r in got} == want and len(got) == len(want)
 
 
+def test_exact_nearest_writes_rows_in_proportion_to_texts(spark, monkeypatch):
+    """Each text has its own choice of frequent passages; four times the texts give about four times the rows, for any
+    number of blocks, and the nearest by brute force."""
+    passages = [[f"p{i}w{j}" for j in range(5 + i % 3)] for i in range(12)]
+    rows, write = [0], near_dup.written
+
+    def counted(df):
+        out = write(df)
+        rows[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    for n, more in ((64, {}), (256, {"at_once": 300} if "at_once" in near_dup.exact_nearest.__code__.co_varnames else {})):
+        said = {i: " ".join([w for j, p in enumerate(passages) if i * 2654435761 >> j + 7 & 1 for w in p] + [f"only{i}", f"rare{i // 3}"] * (1 + i % 3)) for i in range(n)}
+        df = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+        got = near_dup.exact_nearest(df, df.filter("doc_id % 4 = 0"), common=8, **more).collect()
+        sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in said.items())}
+        want = {q: max((len(sets[q] & sets[i]) / len(sets[q] | sets[i]), -i) for i in said if i != q and sets[q] & sets[i]) for q in range(0, n, 4) if any(sets[q] & sets[i] for i in said if i != q)}
+        assert {r.query_id: (r.sim, -r.id) for r in got} == want and len(got) == len(want)
+        rows.append(0)
+    assert rows[1] < 6 * rows[0]
+
+
 def test_exact_nearest_shuffles_no_shingle_that_no_query_has(spark):
     found = spark.createDataFrame([([1, 2, (1 << 40) + 3],), ([],), ([5],)], "s array<long>").coalesce(1)
     table = spark.sparkContext.broadcast(near_dup._table(spark.createDataFrame([(1,), (3,), (5,), (-1,)], "g long")))
